@@ -69,11 +69,12 @@ def votes(n: int, chars: int, symbols: int, dup_lines: int, repeats: int, capita
     )
 
 
-def fit_accuracies(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
+def fit_accuracies(patterns: dict[str, int], rounds: int = 60, prior: float = 0.85) -> dict[str, float]:
     """Posterior probability of good for each vote pattern, by EM over their counts.
 
     A rule has, for good and for bad texts each, the rates at which it votes good, votes bad or abstains; an abstention
-    itself is no evidence, as each rule knows one kind of junk only. Start: three bad
+    itself is no evidence, as each rule knows one kind of junk only. The share of
+    good texts (prior) is given, as votes on one kind of junk each can't tell it. Start: three bad
     texts in ten and one good text in a hundred are voted bad. Pseudo-counts keep the rates inside (0, 1), so that a corpus
     of one pattern is well defined. Rules are written for precision, which the fit holds them to: none votes bad on more
     than MOST_WRONG of the good texts, and none is read backwards. No documents give an empty map.
@@ -85,13 +86,11 @@ def fit_accuracies(patterns: dict[str, int], rounds: int = 60) -> dict[str, floa
     hot = np.stack([v == 0, v == 1, v == 2]).astype(float)  # outcome, pattern, rule
     rate = {"good": np.array([0.01, 0.5, 0.49])[:, None].repeat(v.shape[1], 1), "bad": np.array([0.3, 0.35, 0.35])[:, None].repeat(v.shape[1], 1)}
     start = {k: x.copy() for k, x in rate.items()}
-    prior = 0.8
     for _ in range(rounds):
         a = np.log(prior) + np.einsum("opr,or->p", hot[:2], np.log(rate["good"][:2]))
         b = np.log1p(-prior) + np.einsum("opr,or->p", hot[:2], np.log(rate["bad"][:2]))
         post = 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
         share = {"good": count * post, "bad": count * (1 - post)}
-        prior = (share["good"].sum() + 8) / (count.sum() + 10)
         for k in rate:
             rate[k] = (np.einsum("p,opr->or", share[k], hot) + 10 * start[k]) / (share[k].sum() + 10)
         rate["good"][0] = np.minimum(rate["good"][0], MOST_WRONG)

@@ -20,7 +20,7 @@ from rangeloom.llm.common import WHITE_SPACE, Shelf, table, text_or_empty
 SYMBOLS = "#*$%&|<>"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: The share of good texts that a rule may vote bad.
-MOST_WRONG = 0.02
+MOST_WRONG = 0.005
 RULES = ("symbols", "capitals", "repeats", "lines", "length", "marks", "letters")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rangeloom.llm import bpe, decontam, lines, quality, simhash
+from rangeloom.llm import bpe, decontam, lines, quality, repeats, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_repeats": repeats.op2_repeats,
         "op4_simhash": simhash.op4_simhash,
         "op5_line_dedup": lines.op5_line_dedup,
         "op7_bpe": bpe.op7_bpe,

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import WHITE_SPACE, table
+from rangeloom.llm.common import WHITE_SPACE, Shelf, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,7 +28,7 @@ def line_key(line: Column) -> Column:
     return F.lower(F.decode(F.encode(F.btrim(line, F.lit(WHITE_SPACE)), "UTF-8"), "ISO-8859-1"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, shelf: Shelf | None = None) -> DataFrame:
     """All columns of docs, with the text's repeated lines dropped, and `line_counts` (n_lines, n_dropped).
 
     A null or empty text is one empty line. Rows with the same id are one document; a null id counts as a document
@@ -40,6 +40,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = base.select("id", "th", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line")).select("id", "th", "pos", F.btrim("line", F.lit(WHITE_SPACE)).alias("line"))
     long = split.where(F.char_length("line") >= min_chars).select("id", "th", "pos", line_key(F.col("line")).alias("key")).select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     repeated = long.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Written, so that both sides of the join come from shuffles of their own and a hot line's share can be split.
+    repeated = (shelf or Shelf(docs.sparkSession)).keep(repeated)
     lost = long.join(repeated.select("h1", "h2", "keeper"), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id", "th").agg(F.collect_set("pos").alias("lost"))
     met = base.alias("b").join(lost.alias("l"), F.col("b.id").eqNullSafe(F.col("l.id")) & (F.col("b.th") == F.col("l.th")), "left").select("row", F.split("body", "\n", -1).alias("lines"), F.coalesce("lost", F.array().cast("array<int>")).alias("lost"))
     kept = F.when(F.size("lost") == 0, F.array_join("lines", "\n")).otherwise(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import partitions
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _murmur_int(x: int, seed: int = 42) -> int:

@@ -14,7 +14,7 @@ only buckets that can still split or match go on:
    the bucket pointers of the suffixes 8, 16 and 18 bytes on. Each pass reuses the pointers that the pass before has
    updated, so the depth goes 8, 16, 32, 50; suffixes alone in their bucket keep their pointer and leave.
 
-See batches.py for how questions and answers travel. Memory: one batch of texts (8 MB, or the longest text) and one
+See batches.py for how questions and answers travel. Memory: one batch of texts (4 MB, or the longest text) and one
 bucket's segments a task.
 """
 
@@ -33,8 +33,8 @@ from rangeloom.llm.common import table
 
 LENGTH = 50
 Q = 20
-HOT = 64
-CHUNK = 1 << 20
+HOT = 1024
+CHUNK = 1 << 18
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WHO = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
@@ -86,6 +86,11 @@ def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _C)
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] places, then the same for the next."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Batch:
     """The distinct texts of a batch, by ascending id, and the segments of their strings."""
 
@@ -138,7 +143,8 @@ class Batch:
             good = valid[first]
             los.append(starts[first[good]])
             his.append(starts[last[good]])
-            keys.append(grams[anchor[first[good]]])
+            # Mixed again: the least hashes of many would all fall into the first buckets.
+            keys.append(_mix(grams[anchor[first[good]]] * _C))
         none = np.zeros(0, np.int64)
         self.lo = np.concatenate(los) if los else none
         self.hi = np.concatenate(his) if his else none
@@ -162,7 +168,7 @@ class Batch:
         lo, hi, key, doc, split = self.lo[keep], self.hi[keep], self.key[keep], self.doc[keep], hot[where[keep]]
         if split.any():
             n = hi[split] - lo[split] + 1
-            single = np.repeat(lo[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            single = _runs(lo[split], n)
             lo, hi = np.concatenate([lo[~split], single]), np.concatenate([hi[~split], single])
             doc = np.concatenate([doc[~split], np.repeat(doc[split], n)])
             key = np.concatenate([key[~split], np.zeros(len(single), np.uint64)])
@@ -195,7 +201,7 @@ class Batch:
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)]):
             if a < b:
                 sizes = self.e_hi[a:b] - self.e_lo[a:b] + self.length
-                at = np.repeat(self.e_lo[a:b], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = _runs(self.e_lo[a:b], sizes)
                 yield int(where[a]), np.int64(b - a).tobytes() + B.pack40(self.e_key[a:b]) + self.e_id[a:b].tobytes() + sizes.astype(np.uint8).tobytes() + self.raw[at].tobytes()
 
     def removed(self, bits: np.ndarray) -> list[tuple]:
@@ -203,14 +209,14 @@ class Batch:
         sizes = self.e_hi - self.e_lo + 1
         offset = np.cumsum(sizes) - sizes
         n = self.c_hi - self.c_lo + 1
-        start = np.repeat(self.c_lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = _runs(self.c_lo, n)
         found = bits[np.repeat(offset[self.entry_of] - self.c_lo, n) + start] if len(start) else np.zeros(0, bool)
         found = found | np.repeat(self.own[self.c_doc] != self.e_id[self.entry_of], n)
         start = start[found]
         edges = np.zeros(len(self.raw) + 1, np.int32)
         np.add.at(edges, start, 1)
         np.add.at(edges, start + self.length, -1)
-        gone = np.cumsum(edges[:-1]) > 0
+        gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
         out, seen = [], {}
         for ident, at in self.rows:
             a, b = int(self.edge[at]), int(self.edge[at + 1])
@@ -291,24 +297,29 @@ def answer_entries(blobs: list[bytes], length: int = LENGTH) -> list[bytes]:
     np.minimum.at(least, of, ident)
     rivals_key, rivals = np.unique(key[first], return_inverse=True)
     open_ = np.bincount(rivals, minlength=len(rivals_key))[rivals] > 1
-    # Strings of distinct segments in buckets that hold several.
-    at = first[open_]
-    length_of = size[at]
-    pick = np.repeat(start[at], length_of) + np.arange(length_of.sum()) - np.repeat(np.cumsum(length_of) - length_of, length_of)
-    base = np.cumsum(length_of) - length_of
-    n_strings = length_of - length + 1
-    begin = np.repeat(base, n_strings) + np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
-    mine = np.repeat(least[open_], n_strings)
-    smaller = refine(text[pick], begin, mine, length) < mine
-    # Bits of distinct segments, then of entries.
     all_strings = size - length + 1
     seg_strings = all_strings[first]
     seg_at = np.cumsum(seg_strings) - seg_strings
     seg_bits = np.zeros(int(seg_strings.sum()), bool)
-    to = np.repeat(seg_at[open_], n_strings) + np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
-    seg_bits[to] = smaller
-    src = np.repeat(seg_at[of], all_strings) + np.arange(all_strings.sum()) - np.repeat(np.cumsum(all_strings) - all_strings, all_strings)
-    bits = seg_bits[src] | np.repeat(ident > least[of], all_strings)
+    # Strings of distinct segments in buckets that hold several: some whole buckets at a time.
+    rest = np.flatnonzero(open_)
+    rest = rest[np.argsort(rivals[rest], kind="stable")]
+    filled = np.cumsum(size[first[rest]])
+    i = 0
+    while i < len(rest):
+        j = int(np.searchsorted(filled, (filled[i - 1] if i else 0) + CHUNK // 2, "right"))
+        j = min(len(rest), max(i + 1, j))
+        j = int(np.searchsorted(rivals[rest], rivals[rest[j - 1]], "right"))
+        seg = rest[i:j]
+        at = first[seg]
+        pick = _runs(start[at], size[at])
+        base = np.cumsum(size[at]) - size[at]
+        n_strings = seg_strings[seg]
+        mine = np.repeat(least[seg], n_strings)
+        seg_bits[_runs(seg_at[seg], n_strings)] = refine(text[pick], _runs(base, n_strings), mine, length) < mine
+        i = j
+    # Bits of distinct segments, then of entries.
+    bits = seg_bits[_runs(seg_at[of], all_strings)] | np.repeat(ident > least[of], all_strings)
     out, a, i = [], 0, 0
     for n in counts:
         b = a + int(all_strings[i : i + n].sum())

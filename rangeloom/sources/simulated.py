@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeloom.session import ship
+
 
 def hash_unit(*keys: Column) -> Column:
     """A number in [0, 1) from keys."""
@@ -33,6 +35,7 @@ def box_hit(o: tuple[float, float, float], d: list[Column], lo: tuple, hi: tuple
 
 def scan(spark: SparkSession, n: int, station: tuple = (0.0, 0.0, 0.0), lo: tuple = (-2.0, -4.0, -1.3), hi: tuple = (14.0, 4.5, 2.6), boxes: tuple = (((4.0, -1.8, -1.3), (5.2, -0.6, -0.2)),), noise: float = 0.0, rates: tuple = (121.64, -77.78)) -> DataFrame:
     """(id, t, dx, dy, dz, range, x, y, z): a two-rate rosette inside a room with boxes; x, y, z from the station, in metres."""
+    ship(spark)
     t = F.col("id") * 1e-5
     a, b = 2 * math.pi * rates[0] * t, 2 * math.pi * rates[1] * t
     u, v = 0.17 * (F.cos(a) + F.cos(b)), 0.17 * (F.sin(a) + F.sin(b))

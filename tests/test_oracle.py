@@ -5,10 +5,10 @@ import oracle
 import pytest
 from conftest import DATA
 
-from rangeloom.plans import point_queries, stream_queries
+from rangeloom.plans import point_queries, stream_queries, view_queries
 
-SQL = {**point_queries.SQL, **stream_queries.SQL}
-QUERIES = {**point_queries.QUERIES, **stream_queries.QUERIES}
+SQL = {**point_queries.SQL, **stream_queries.SQL, **view_queries.SQL}
+QUERIES = {**point_queries.QUERIES, **stream_queries.QUERIES, **view_queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

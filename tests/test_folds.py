@@ -53,3 +53,14 @@ def test_calibration_and_sight(spark):
     stations = spark.createDataFrame([(0, 0.05, 0.05, 0.05)], "station int, x double, y double, z double")
     wall = spark.createDataFrame([(20, 0, 0)], "i long, j long, k long")
     assert [r.id for r in visible.seen_from(cells, stations, wall, 0.1).collect()] == [2]
+
+
+def test_sql_functions(spark):
+    from conftest import DATA
+
+    from rangeloom.plans import sql_views
+
+    sql_views.register(spark, DATA)
+    got = spark.sql("SELECT * FROM ray_cells(0.1, 0.1, 0.1, 1.0, 0.0, 0.0, 2.5, 1.0)").collect()
+    assert [(r.step, r.i, r.j, r.k) for r in got] == [(0, 0, 0, 0), (1, 1, 0, 0), (2, 2, 0, 0)]
+    assert spark.sql("SELECT refl_of(a), tag_of(a), return_of(a) FROM (SELECT 7 | (3 << 8) | (1 << 16) AS a)").first()[:] == (7, 3, 1)

@@ -25,7 +25,7 @@ from rangeloom.llm.common import table, text_or_empty
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 6))
 LEAST_WORDS = 13
 AGREEMENT = 0.8
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -84,15 +84,18 @@ class SeedIndex:
         order = np.argsort(key, kind="stable")
         self.key = key[order]
         self.place = (np.concatenate(places) if places else np.zeros((0, 2), np.int64))[order]
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(self.key >> np.uint64(44)).astype(np.int64)] = True
+        # Eight places a seed at least: about one in eight of a document's seeds passes by chance, and is looked up.
+        bits = max(20, int(8 * len(self.key)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.bitmap = np.zeros(1 << bits, bool)
+        self.bitmap[(self.key >> self.shift).astype(np.int64)] = True
 
     def hits(self, doc: np.ndarray) -> dict[tuple[int, int], int]:
         """(item, diagonal) -> number of seeds; the diagonal is the document's place minus the item's."""
         out: dict[tuple[int, int], int] = {}
         for mask in self.masks:
             s = seeds(doc, mask)
-            at = np.flatnonzero(self.bitmap[(s >> np.uint64(44)).astype(np.int64)])
+            at = np.flatnonzero(self.bitmap[(s >> self.shift).astype(np.int64)])
             if not len(at):
                 continue
             lo, hi = np.searchsorted(self.key, s[at], "left"), np.searchsorted(self.key, s[at], "right")

@@ -2,10 +2,12 @@
 
 Fixed masks pick some of the words of a short window and ignore the others, so a seed still hits where an ignored word was
 substituted. The benchmark's seeds are looked up in each document's seeds; around every hit the two texts are laid word by
-word against each other, and the best stretch decides: it must be long enough and agree in at least `agreement` of its words.
+word against each other. They overlap if any stretch of LEAST_WORDS words or more agrees in at least `agreement` of its words; an
+item shorter than that, if the words that agree anywhere along the item are that share of it.
 
-The contiguous mask of four words alone finds every stretch of 13 words with at most two substitutions (three runs of 11
-words, one of them of four); the others find shorter and more broken ones.
+A stretch of 26 words or more that agrees in four fifths has a half of 13 words or more that does, and the masks hit every way
+to place the misses in 13 to 25 words and in items of 4 to 12 words, those of five words with two masks of their own. Where
+`agreement` is set lower, the seeds may miss some.
 
 The benchmark is the small side and goes to the tasks in slices of at most SLICE_BYTES of text; each slice is one more
 pass over the documents, so the broadcast has a proven bound for a benchmark of any size. Documents are never shuffled.
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import table, text_or_empty
 
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 6))
+#: Masks only for items of so many words.
+MASKS_OF = {1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 5: ((0, 2, 3, 4), (0, 1, 2, 4))}
 LEAST_WORDS = 13
 AGREEMENT = 0.8
 SLICE_BYTES = 2 << 20
@@ -70,13 +74,10 @@ class SeedIndex:
         hashes = WordHashes()
         self.ids = [i for i, _ in items]
         self.words = [hashes.of(t) for _, t in items]
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < 4})
-        self.masks = [*MASKS, *(tuple(range(n)) for n in self.short)]
+        self.masks = [*MASKS, *(m for n in sorted({len(w) for w in self.words}) for m in MASKS_OF.get(n, ()))]
         keys, places = [], []
         for i, w in enumerate(self.words):
-            for mask in self.masks:
-                if len(mask) < 4 and len(w) != len(mask):
-                    continue
+            for mask in (*MASKS, *MASKS_OF.get(len(w), ())):
                 s = seeds(w, mask)
                 keys.append(s)
                 places.append(np.stack([np.full(len(s), i), np.arange(len(s))], 1))
@@ -105,17 +106,37 @@ class SeedIndex:
         return out
 
 
-def best_stretch(same: np.ndarray, agreement: float = AGREEMENT) -> tuple[int, int, int]:
-    """(start, end, agreeing words) of the stretch with the largest sum of 1 - share for a match and -share for a miss."""
+def best_stretch(same: np.ndarray, least: int = LEAST_WORDS, agreement: float = AGREEMENT) -> tuple[int, int, int] | None:
+    """(start, end, agreeing words) of the best stretch of at least `least` words that agrees in that share; None if none does.
+
+    The best has the largest sum of 1 - share for a match and -share for a miss, which is not negative if and only if the
+    stretch agrees enough; ties go to the earlier end, then to the shorter stretch.
+    """
+    if len(same) < least or not least:
+        return None
     share = agreement - 1e-9
     score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - share, -share))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    # Words at either end that don't agree are no part of it.
+    starts = score[: len(score) - least]
+    gain = score[least:] - np.minimum.accumulate(starts)
+    k = int(np.argmax(gain))
+    if gain[k] < 0:
+        return None
+    end = k + least
+    start = k - int(np.argmin(starts[k::-1]))
     return start, end, int(same[start:end].sum())
 
 
+def overlap(same: np.ndarray, item_words: int, least: int = LEAST_WORDS, agreement: float = AGREEMENT) -> tuple[int, int, int] | None:
+    """(start, end, agreeing words) of the overlap on a diagonal where `same` says which words agree; None if it is too little."""
+    if item_words >= least:
+        return best_stretch(same, least, agreement)
+    n = int(same.sum())
+    if n < (agreement * item_words - 1e-9 if item_words >= 4 else item_words) or not n:
+        return None
+    at = np.flatnonzero(same)
+    return int(at[0]), int(at[-1]) + 1, n
+
+
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     least_words: int = LEAST_WORDS, agreement: float = AGREEMENT, slice_bytes: int = SLICE_BYTES,
@@ -150,15 +171,12 @@ def find_overlaps(
                     for (i, diagonal), n in index.hits(doc).items():
                         item = index.words[i]
                         a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-                        start, end, same = best_stretch(item[a:b] == doc[a + diagonal : b + diagonal], agreement)
-                        size = end - start
-                        enough = min(least_words, len(item)) if len(item) >= 4 else len(item)
-                        if len(item) < least_words and same >= agreement * len(item) - 1e-9 and len(item) >= 4:
-                            ok = True
-                        else:
-                            ok = size >= enough and same >= agreement * size - 1e-9
-                        if ok and (i not in best or (same, -a - start - diagonal) > (best[i][2], -best[i][3])):
-                            best[i] = (n, size, same, a + start + diagonal, a + start)
+                        found = overlap(item[a:b] == doc[a + diagonal : b + diagonal], len(item), least_words, agreement)
+                        if found is None:
+                            continue
+                        start, end, same = found
+                        if i not in best or (same, -a - start - diagonal) > (best[i][2], -best[i][3]):
+                            best[i] = (n, end - start, same, a + start + diagonal, a + start)
                     rows += [(at, index.ids[i], *v) for i, v in sorted(best.items())]
                 cols = list(zip(*rows)) if rows else [[]] * 7
                 ids = batch.column(0).take(pa.array(cols[0], pa.int64()))

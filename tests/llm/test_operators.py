@@ -342,6 +342,37 @@ def test_any_two_substitutions_leave_a_seed():
             assert any((decontam.seeds(a, m) == decontam.seeds(b, m)).any() for m in decontam.MASKS)
 
 
+def test_decontamination_by_any_stretch(spark):
+    """Every document that meets both thresholds, wherever its words differ; against a plain search of all stretches."""
+    rng = np.random.default_rng(8)
+    items = {k: [f"w{k}x{j}" for j in range(n)] for k, n in enumerate([4, 5, 6, 8, 10, 12, 13, 14, 15, 20, 30])}
+    changed = [(8, {12}), (6, {9}), (9, {3, 9, 16}), (4, {7}), (1, {1}), (1, {3})]
+    changed += [(k, set(rng.choice(len(w), rng.integers(0, len(w) // 3 + 1), replace=False).tolist())) for k, w in items.items() for _ in range(25)]
+    docs = [(d, " ".join(["before", *("other" if j in c else x for j, x in enumerate(items[k])), "after"])) for d, (k, c) in enumerate(changed)]
+
+    def meets(n, c):
+        if n < 13:
+            return 10 * (n - len(c)) >= 8 * n
+        return any(10 * sum(j not in c for j in range(a, b)) >= 8 * (b - a) for a in range(n) for b in range(a + 13, n + 1))
+
+    want = {(d, k) for d, (k, c) in enumerate(changed) if meets(len(items[k]), c)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = decontam.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want >= {(d, changed[d][0]) for d in range(6)}
+    assert all(10 * r.n_same >= 8 * min(r.n_words, len(items[r.item_id])) for r in got)
+
+
+def test_seeds_hit_every_way_to_differ():
+    from itertools import combinations
+
+    for n in [*range(4, 13), *range(13, 26)]:
+        masks = (*decontam.MASKS, *decontam.MASKS_OF.get(n, ()))
+        places = [sum(1 << p + x for x in m) for m in masks for p in range(n - m[-1])]
+        for c in combinations(range(n), n // 5):
+            lost = sum(1 << x for x in c)
+            assert any(not lost & p for p in places), (n, c)
+
+
 def test_decontamination_finds_whole_items(spark, texts):
     items = {r.item_id: words(r.text.translate(LOWER)) for r in table(spark, DATA, "benchmark").collect()}
     holds = {(i, k) for i, t in texts.items() for k, w in items.items() if " ".join(w) in " ".join(words(t.translate(LOWER)))}

@@ -137,6 +137,26 @@ def overlap(same: np.ndarray, item_words: int, least: int = LEAST_WORDS, agreeme
     return int(at[0]), int(at[-1]) + 1, n
 
 
+def overlaps(index: SeedIndex, doc: np.ndarray, least: int, agreement: float) -> Iterator[tuple[int, tuple[int, int, int, int, int]]]:
+    """(item's place in the index, (seeds, words, agreeing words, start in doc, start in item)) of each diagonal that overlaps."""
+    for (i, diagonal), n in index.hits(doc).items():
+        item = index.words[i]
+        a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        found = overlap(item[a:b] == doc[a + diagonal : b + diagonal], len(item), least, agreement)
+        if found is not None:
+            start, end, same = found
+            yield i, (n, end - start, same, a + start + diagonal, a + start)
+
+
+def slices_of(benchmark: DataFrame, item_col: str, item_text: str, slice_bytes: int) -> Iterator[list[tuple[object, str]]]:
+    """The benchmark's (item, text) in slices of about slice_bytes of text."""
+    items = benchmark.select(F.col(item_col).alias("i"), text_or_empty(item_text).alias("t"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
+    slices = max(1, -(-int(total) // slice_bytes))
+    for k in range(slices):
+        yield [tuple(r) for r in (items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items).collect()]
+
+
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     least_words: int = LEAST_WORDS, agreement: float = AGREEMENT, slice_bytes: int = SLICE_BYTES,
@@ -149,34 +169,23 @@ def find_overlaps(
     columns are not read. Ties go to more agreeing words, then to the earlier place.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("i"), text_or_empty(item_text).alias("t"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    slices = max(1, -(-int(total) // slice_bytes))
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     schema = f"id {kinds[0]}, item {kinds[1]}, n_seeds long, n_words long, n_same long, doc_start long, item_start long"
     arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     out = None
-    for k in range(slices):
-        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect() if slices > 1 else items.collect()
-        shared = spark.sparkContext.broadcast([tuple(r) for r in mine])
+    for mine in slices_of(benchmark, item_col, item_text, slice_bytes):
+        shared = spark.sparkContext.broadcast(mine)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hashes = SeedIndex(shared.value), WordHashes()
             for batch in batches:
                 rows = []
                 for at, text in enumerate(batch.column(1)):
-                    doc = hashes.of(text.as_py())
                     best: dict[int, tuple] = {}
-                    for (i, diagonal), n in index.hits(doc).items():
-                        item = index.words[i]
-                        a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-                        found = overlap(item[a:b] == doc[a + diagonal : b + diagonal], len(item), least_words, agreement)
-                        if found is None:
-                            continue
-                        start, end, same = found
-                        if i not in best or (same, -a - start - diagonal) > (best[i][2], -best[i][3]):
-                            best[i] = (n, end - start, same, a + start + diagonal, a + start)
+                    for i, found in overlaps(index, hashes.of(text.as_py()), least_words, agreement):
+                        if i not in best or (found[2], -found[3]) > (best[i][2], -best[i][3]):
+                            best[i] = found
                     rows += [(at, index.ids[i], *v) for i, v in sorted(best.items())]
                 cols = list(zip(*rows)) if rows else [[]] * 7
                 ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
@@ -187,5 +196,23 @@ def find_overlaps(
     return out.withColumnsRenamed({"id": id_col, "item": item_col} if id_col != item_col else {"id": id_col})
 
 
+def without_overlaps(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    least_words: int = LEAST_WORDS, agreement: float = AGREEMENT, slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
+    """The rows of docs that find_overlaps() finds nothing in, each by its own text, whatever its id; all columns stay."""
+    at, out = docs.columns.index(text_col), docs
+    for mine in slices_of(benchmark, item_col, item_text, slice_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(mine)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, hashes = SeedIndex(shared.value), WordHashes()
+            for batch in batches:
+                yield batch.filter(pa.array([not any(overlaps(index, hashes.of(text.as_py() or ""), least_words, agreement)) for text in batch.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

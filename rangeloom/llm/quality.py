@@ -131,5 +131,26 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     )
 
 
+def keep_rows(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() keeps, each by its own text, whatever its id; all columns stay.
+
+    The texts are measured twice, once to count vote patterns and once to decide, so no row needs a key and none is shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, votes(*measure(x.as_py())))) for x in batch.column(0)], pa.string())], ["votes"])
+
+    patterns = {r[0]: r[1] for r in docs.select(text_or_empty(text_col)).mapInArrow(count, "votes string").groupBy("votes").count().orderBy("votes").collect()}
+    posterior, at = fit_accuracies(patterns), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure(x.as_py() or "") for x in batch.column(at)]
+            yield batch.filter(pa.array([r[0] >= 10 and 100 * r[4] <= 20 * r[0] and posterior["".join(map(str, votes(*r)))] >= least for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -463,6 +463,21 @@ def test_pipeline_stages(spark, awkward):
     assert first.count() >= 1
 
 
+def test_pipeline_decides_by_row(spark):
+    """Rows with a null or repeated doc_id stand for themselves: a bad, repeated or contaminated one takes no other along."""
+    rng = np.random.default_rng(4)
+    passage = table(spark, DATA, "benchmark").first().text
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) for _ in range(8)]
+    rows = [(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (9, own[3]), (None, own[3]), (None, own[0])]
+    junk, leak = [(None, "bad"), (7, "# # #")], [(None, f"{own[4]} {passage}"), (7, f"{own[5]} {passage}")]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    texts_of = lambda out: sorted((r.doc_id or 0, r.text) for r in out.collect())
+    plain = sorted((a or 0, b) for a, b in rows)
+    assert texts_of(corpus_pipeline.keep_quality(spark, frame(rows + junk), DATA)) == plain
+    assert texts_of(corpus_pipeline.drop_contaminated(spark, frame(rows + leak), DATA)) == plain
+    assert texts_of(corpus_pipeline.one_of_each_group(spark, frame(rows), DATA)) == sorted([(0, own[0]), (0, own[1]), (7, own[2]), (7, own[3])])
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     assert out and all(len(r.ids) == r.n_tokens for r in out)

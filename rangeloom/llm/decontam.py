@@ -200,7 +200,11 @@ def without_overlaps(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     least_words: int = LEAST_WORDS, agreement: float = AGREEMENT, slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """The rows of docs that find_overlaps() finds nothing in, each by its own text, whatever its id; all columns stay."""
+    """The rows of docs that hold no item, each by its own text, whatever its id; all columns stay.
+
+    An item of fewer than four words ('yes') is no passage: it takes a row only if it is the whole text. All other overlaps that
+    find_overlaps() reports take theirs.
+    """
     at, out = docs.columns.index(text_col), docs
     for mine in slices_of(benchmark, item_col, item_text, slice_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(mine)
@@ -208,7 +212,11 @@ def without_overlaps(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hashes = SeedIndex(shared.value), WordHashes()
             for batch in batches:
-                yield batch.filter(pa.array([not any(overlaps(index, hashes.of(text.as_py() or ""), least_words, agreement)) for text in batch.column(at)], pa.bool_()))
+                kept = []
+                for text in batch.column(at):
+                    doc = hashes.of(text.as_py() or "")
+                    kept.append(not any(len(index.words[i]) >= 4 or len(index.words[i]) == len(doc) for i, _ in overlaps(index, doc, least_words, agreement)))
+                yield batch.filter(pa.array(kept, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

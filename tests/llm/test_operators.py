@@ -362,6 +362,14 @@ def test_decontamination_by_any_stretch(spark):
     assert all(10 * r.n_same >= 8 * min(r.n_words, len(items[r.item_id])) for r in got)
 
 
+def test_short_items_take_no_longer_text(spark):
+    frame = lambda x, i: spark.createDataFrame(x, f"{i} long, text string")
+    bench = frame([(1, "yes"), (2, "in Paris"), (3, "what is the name of it")], "item_id")
+    docs = frame([(1, "oh Yes we came in paris"), (2, "YES"), (3, "In  paris\n"), (4, "tell me what is the name of it now"), (5, None), (6, "yes yes")], "doc_id")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_overlaps(docs, bench).collect()} == {(1, 1), (1, 2), (2, 1), (3, 2), (4, 3), (6, 1)}
+    assert {r.doc_id for r in decontam.without_overlaps(docs, bench).collect()} == {1, 5, 6}
+
+
 def test_seeds_hit_every_way_to_differ():
     from itertools import combinations
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from conftest import DATA
 
-from rangeloom.llm import batches, bpe, decontam, html, language, lines, pii, quality, repeats, simhash, toxicity
+from rangeloom.llm import batches, bpe, decontam, html, language, lines, nearcopies, pii, quality, repeats, simhash, toxicity
 from rangeloom.llm.common import table
 
 WS = " \t\n\x0b\x0c\r"
@@ -215,6 +215,42 @@ def test_simhash_awkward(awkward, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("cell", [400, 20])
+def test_near_copies_against_all_pairs(spark, cell):
+    """Every pair of five-word similarity 0.8 or more is in one group, and groups hold nothing else; in small cells too."""
+    rng = np.random.default_rng(6)
+    base = [f"b{x}" for x in range(100)]
+    edited = [" ".join(w if rng.random() > 0.012 else "other%d" % rng.integers(99) for w in base) for _ in range(150)]
+    rows = [(r.doc_id, r.text) for r in table(spark, DATA.replace("0.001", "0.01"), "documents").collect()]
+    rows += [(-1 - i, t) for i, t in enumerate(edited)] + [(-500, ""), (-501, None), (-502, "A b"), (-503, "a  B")]
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    owners, groups, pairs = defaultdict(list), simhash.Groups(len(rows)), 0
+    for i, x in enumerate(sets):
+        both = Counter(j for k in x for j in owners[k])
+        for j, n in both.items():
+            if 10 * n >= 8 * (len(x) + len(sets[j]) - n):
+                groups.join(i, j)
+                pairs += 1
+        for k in x:
+            owners[k].append(i)
+    empty = [i for i, x in enumerate(sets) if not x]
+    for i in empty[1:]:
+        groups.join(empty[0], i)
+    want = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        want[groups.find(i)].append(d)
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell).collect()}
+    assert pairs > 100 and got == {d: min(x) for x in want.values() for d in x}
+
+
+def test_near_copies_awkward(awkward, nothing):
+    assert nearcopies.near_copies(awkward).count() == awkward.count()
+    assert nearcopies.near_copies(nothing).count() == 0
+
+
 # --- 5
 
 

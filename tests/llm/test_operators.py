@@ -468,15 +468,83 @@ def test_language_base(spark, texts):
         assert r.score < 0
 
 
-def test_language_distributions_sum_to_one(spark):
-    from rangeloom.llm.common import Shelf
-
-    spread, _ = batches.batched(table(spark, DATA, "documents"), "doc_id", "text")
-    tree = language.grow_tree(spread, Shelf(spark))
-    assert tree.states > 1000
-    raw = language.stream(b"the thing of einer queue".split())
-    for h in language.histories(np.frombuffer(raw, np.uint8)):
-        assert math.isclose(np.exp(tree.log_probabilities((h & ~np.int64(255)) | np.arange(256))).sum(), 1, rel_tol=1e-9)
+def scores_of(texts, folds=10, depth=2, least=2, gain=2.0, discount=0.75):
+    """The same model in plain dictionaries: (score of each text, states by level)."""
+    tok = {i: [*words(t.translate(LOWER)), None] for i, t in texts.items()}
+    train = [x for i, x in tok.items() if zlib.crc32(b"" if i is None else str(i).encode()) % folds]
+    one = Counter(w for x in train for w in x)
+    n, v = sum(one.values()), len(one)
+    p0 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    states = [defaultdict(Counter) for _ in range(depth + 1)]  # by level: context -> next words
+    kept = [set() for _ in range(depth + 1)]
+
+    def context(x, i, k):
+        return None if i < k - 1 else tuple(["<" if j < 0 else x[j] for j in range(i - k, i)])
+
+    def p(x, i, most):
+        out = p0(x[i])
+        for k in range(1, most + 1):
+            c = context(x, i, k)
+            if c is None or c not in kept[k]:
+                break
+            got = states[k][c]
+            out = (max(got[x[i]] - discount, 0) + discount * len(got) * out) / sum(got.values())
+        return out
+
+    for k in range(1, depth + 1):
+        below = Counter()
+        for x in train:
+            for i in range(len(x)):
+                c = context(x, i, k)
+                if c is not None and (k == 1 or context(x, i, k - 1) in kept[k - 1]):
+                    states[k][c][x[i]] += 1
+                    below[c] += math.log(p(x, i, k - 1))
+        for c, got in states[k].items():
+            total = sum(got.values())
+            if total >= least and sum(m * math.log(m / total) for m in got.values()) - below[c] > gain * len(got):
+                kept[k].add(c)
+    return {i: sum(math.log10(p(x, j, depth)) for j in range(len(x))) for i, x in tok.items()}, [len(k) for k in kept], (p0, p, states, kept, one)
+
+
+@pytest.mark.parametrize("batch", [4 << 20, 30_000])
+def test_language_tree_is_the_plain_model(spark, texts, batch):
+    want, states, _ = scores_of(texts)
+    assert states[1] > 100 and states[2] > 100
+    for r in language.score_texts(table(spark, DATA, "documents"), batch_bytes=batch).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-6), r
+
+
+def test_language_distributions_sum_to_one(texts):
+    _, _, (p0, p, _, kept, one) = scores_of(texts)
+    rest = 1 - sum(map(p0, one))
+    for c in [*sorted(kept[1], key=str)[:20], *sorted(kept[2], key=str)[:20]]:
+        x = [w for w in c if w != "<"]
+        assert math.isclose(sum(p([*x, w], len(x), 2) for w in one) + rest * p([*x, "no such word"], len(x), 2) / p0("no such word"), 1, rel_tol=1e-9)
+
+
+def test_language_hot_contexts(spark, texts):
+    """A context over the bound is dealt by its next words; its probabilities are smoothed by a fixed weight."""
+    docs = table(spark, DATA, "documents")
+    tok = {i: [*words(t.translate(LOWER)), None] for i, t in texts.items()}
+    train = [x for i, x in tok.items() if zlib.crc32(str(i).encode()) % 10]
+    one, two = Counter(w for x in train for w in x), Counter(p for x in train for p in zip(["<", *x], x))
+    n, v, before = sum(one.values()), len(one), Counter(a for x in train for a in ["<", *x[:-1]])
+    p0 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    p1 = lambda a, w: (two[a, w] + language.HOT_WEIGHT * p0(w)) / (before[a] + language.HOT_WEIGHT) if before[a] >= 2 else p0(w)
+    for r in language.score_texts(docs, depth=1, hot=1, batch_bytes=50_000).collect():
+        x = tok[r.doc_id]
+        assert math.isclose(r.score, sum(math.log10(p1(a, w)) for a, w in zip(["<", *x], x)), rel_tol=1e-9)
+
+
+def test_language_gathers_with_the_corpus(spark):
+    """A passage met twice is known by its contexts, however large the rest is."""
+    rng = np.random.default_rng(3)
+    twice = " ".join(f"t{i}" for i in rng.permutation(300))
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 20_000, 300))) for i in range(400)] + [(1001, twice), (1002, twice)]
+    got = {r.doc_id: r for r in language.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[1001].held_out and not got[1002].held_out
+    assert got[1001].score > 0.3 * got[1001].base_score and got[1001].score == got[1002].score
+    assert all(got[i].score < 0.8 * got[i].base_score for i in range(400) if got[i].held_out)
 
 
 def test_language_awkward(awkward, nothing):

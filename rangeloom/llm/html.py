@@ -2,14 +2,16 @@
 
 1. A page is cut into blocks of text by its markup. Blocks inside an article (or main) part are the article; blocks inside
    menus, headers, footers, sidebars, notices, adverts, forms and reader comments are not; scripts, styles and the head are
-   no text at all. Blocks that no part of the markup claims are open.
-2. The token streams of all blocks outside articles are concatenated by host and sorted as a suffix array, per batch of
-   pages; neighbours that share RUN tokens are one repeated substring, counted by distinct pages and summed over batches. So a menu on a third
-   of all pages is sent as one count a batch, and no task holds a host.
+   no text at all. Blocks that no part of the markup claims are open, on pages with an article too.
+2. What lies outside a page's articles is one token stream, across its blocks, so a menu of one-word items is one long substring. The
+   streams are concatenated by host and sorted as a suffix array, per batch of pages; suffixes are compared to RUN tokens, as a place is
+   covered by a repeated substring of RUN tokens or more exactly if it is by one of RUN. Neighbours that are equal that far are one repeated
+   substring, counted by distinct pages and summed over batches. So a menu on a third of all pages is sent as one count a
+   batch, and no task holds a host.
 3. An open block is boilerplate if long substrings that at least MIN_PAGES distinct pages of its host share cover half of its
    tokens. What is left, in page order, is the text. Articles are never cut: a passage that several articles quote is text.
 
-Only pages with open blocks are shuffled, and of those the blocks outside articles.
+Only pages with open blocks are shuffled, and of those the places that repeated substrings begin at.
 """
 
 from __future__ import annotations
@@ -29,52 +31,86 @@ RUN = 5
 MIN_PAGES = 3
 MAIN, OPEN, OUT = 0, 1, 2
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Comments, other declarations, and tags: attributes have a value in quotes, one without (which may hold quotes), or none.
+_TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+)(?:>|\Z)",
+    re.S,
+)
+_NAMED = re.compile(r"(?<![^\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Their content is no text of the page.
 _SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "title", "textarea", "math", "audio", "video"}
 _BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|site-?header|masthead|sidebar|widget|ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|"
-    r"newsletter|subscribe|share|social|related|comments?|disqus|respond|search|login|signup)(?:$|[\s_-])",
-    re.I,
+#: Parts of names (class, id, role) that tell of boilerplate, and parts that only say what shape it has. A name counts if it is made
+#: of these alone: share-buttons is boilerplate, share-price is not.
+_HINTS = set(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead contentinfo complementary sidebar widget ad ads advert adverts advertisement advertising sponsor sponsored promo banner "
+    "cookie cookies consent notice popup modal newsletter subscribe share sharing social related comment comments disqus respond search login signup".split()
+)
+_SHAPES = set(
+    "bar box container wrapper wrap link links list button buttons btn section block area item items inner outer main site page global header top bottom left right primary secondary body "
+    "slot unit form field posts articles stories author reply thread toolbar panel row col group icon icons".split()
 )
 _WHITE = re.compile(r"\s+")
 
 
+def is_hint(value: str) -> bool:
+    """Whether a class, id or role attribute names boilerplate."""
+    for name in value.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p and not p.isdigit()]
+        if any(p in _HINTS for p in parts) and all(p in _HINTS or p in _SHAPES for p in parts):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, MAIN, OPEN or OUT) of each block in page order."""
+    """(text, MAIN, OPEN or OUT) of each block in page order; what an inline advert holds is a block of its own, out.
+
+    A tag that the page's end cuts off is no text, as in browsers; a sign that begins no tag is text.
+    """
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements and the zone each set
     zone = OPEN
     parts: list[str] = []
+    muted: list[str] = []  # open inline elements, from the first that is boilerplate on
+    aside: list[str] = []
+
+    def said(held: list[str], where: int) -> None:
+        text = _WHITE.sub(" ", html.unescape("".join(held))).strip() if held else ""
+        if text:
+            out.append((text, where))
+        held.clear()
 
     def flush() -> None:
-        nonlocal parts
-        if parts:
-            text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                out.append((text, zone))
-            parts = []
+        said(parts, zone)
+        said(aside, OUT)
+        muted.clear()
 
     at, n = 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            parts.append(page[at:])
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        (aside if muted else parts).append(page[at:start])
+        if start == n:
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+        m = _TAG.match(page, start)
+        if not m:
+            (aside if muted else parts).append("<")
+            at = start + 1
+            continue
         at = m.end()
-        name = m[2]
-        if name is None:
+        if m[2] is None:
             continue
-        name = name.lower()
+        name = m[2].lower()
         if m[1]:
             if name in _INLINE:
-                if name in ("br", "p"):
+                if name in muted:
+                    while muted.pop() != name:
+                        pass
+                elif name == "br":
                     parts.append(" ")
                 continue
             flush()
@@ -91,9 +127,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 if name == "title":
                     flush()
             continue
+        hint = bool(m[3]) and any(is_hint(a or b or c) for a, b, c in _NAMED.findall(m[3]))
         if name in _INLINE:
             if name == "br":
-                parts.append(" ")
+                (aside if muted else parts).append(" ")
+            elif name not in _VOID and (muted or (hint and zone != OUT)):
+                if not muted:
+                    parts.append(" ")
+                muted.append(name)
             continue
         flush()
         if name in _VOID:
@@ -105,7 +146,6 @@ def blocks(page: str) -> list[tuple[str, int]]:
         stack.append((name, zone))
         if name in ("body", "html", "head"):
             continue
-        hint = any(_HINT.search(a or b or c) for a, b, c in _NAMED.findall(m[3])) if m[3] else False
         if zone != OUT:
             if name in _BOILERPLATE or hint or (name == "header" and zone != MAIN):
                 zone = OUT
@@ -160,7 +200,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text) for each row; text is empty if nothing is left.
 
     A null or empty page has an empty text; a null or hostless url is a host of its own. Repeated rows count as pages of
-    their own and come out alike. A null id is carried; an empty table gives an empty table; other columns are not read.
+    their own and come out alike. A very long page is one row of blocks. A null id is carried; an empty table gives an empty table; other
+    columns are not read.
     """
     from xxhash import xxh64_intdigest
 
@@ -179,46 +220,62 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     parsed = shelf.keep(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(parse, f"id {kind}, url string, host long, open boolean, blocks {block}"))
 
+    def stream(got: list[dict]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The tokens outside articles, across blocks, and (block, from, to) of each open one."""
+        tokens, held, size = [], [], 0
+        for k, b in enumerate(got):
+            if b["zone"] != MAIN:
+                tokens.append(_tokens(b["text"]))
+                if b["zone"] == OPEN:
+                    held.append((k, size, size + len(tokens[-1])))
+                size += len(tokens[-1])
+        return np.concatenate(tokens) if tokens else np.zeros(0, np.uint64), held
+
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams = []
-            for p, (host, got) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                streams += [(host, p, _tokens(b)) for b in got]
-            name, n = repeated_substrings(streams, run)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], ["name", "pages"])
-
-    outside = F.transform(F.filter("blocks", lambda b: b["zone"] != MAIN), lambda b: b["text"])
-    counted = parsed.select("host", outside.alias("outside")).mapInArrow(sort_suffixes, "name long, pages long").groupBy("name").agg(F.sum("pages").alias("pages"))
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                name, n = repeated_substrings([(host, p, stream(got)[0]) for p, (host, got) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))], run)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], ["name", "pages"])
+
+    # Where no page has an open block there is nothing to decide.
+    hosts = parsed.where("open").select("host").distinct()
+    counted = parsed.join(hosts, "host", "left_semi").select("host", "blocks").mapInArrow(sort_suffixes, "name long, pages long").groupBy("name").agg(F.sum("pages").alias("pages"))
     repeated = counted.where(F.col("pages") >= min_pages).select("name")
 
     def open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for row, (key, host, got) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for k, b in enumerate(got):
-                    if b["zone"] == OPEN:
-                        names = _grams(_tokens(b["text"]), host, run).view(np.int64).tolist()
-                        rows += [(key, k, j, x) for j, x in enumerate(names)]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["key", "block", "place", "name"])
+            for key, host, got in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                tokens, held = stream(got)
+                names = _grams(tokens, host, run)
+                near = np.zeros(len(names), bool)
+                for _, a, b in held:
+                    near[max(0, a - run + 1) : b] = True
+                at = np.flatnonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(names[at].view(np.int64))], ["key", "place", "name"])
 
     # A page with open blocks is named by its content, so that repeated ids stay apart.
     key = F.sha2(F.to_json(F.struct("id", "url", "blocks")), 256)
     open_pages = parsed.where("open").select("id", "url", "host", "blocks", key.alias("key"))
-    runs = open_pages.select("key", "host", "blocks").mapInArrow(open_runs, "key string, block int, place int, name long").distinct()
-    covered = runs.join(repeated, "name").groupBy("key", "block").agg(F.collect_list("place").alias("places")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("block", "places"))).alias("covered"))
-
-    def is_kept(b, i):  # noqa: ANN001, ANN202
-        size = F.size(F.split(F.trim(b["text"]), r"\s+"))
-        tokens = F.size(F.array_distinct(F.flatten(F.transform(F.coalesce(F.col("covered")[i], F.array().cast("array<int>")), lambda p: F.sequence(p, p + run - 1)))))
-        return (b["zone"] == MAIN) | ((b["zone"] == OPEN) & (2 * tokens < size))
+    runs = open_pages.select("key", "host", "blocks").mapInArrow(open_runs, "key string, place int, name long").distinct()
+    covered = runs.join(repeated, "name").groupBy("key").agg(F.collect_list("place").alias("places"))
 
-    def text_of(keep):  # noqa: ANN001, ANN202
-        return F.array_join(F.transform(F.filter("blocks", keep), lambda b: b["text"]), "\n\n")
-
-    has_main = F.exists("blocks", lambda b: b["zone"] == MAIN)
-    with_open = open_pages.join(covered, "key", "left").select("id", "url", F.when(has_main, text_of(lambda b: b["zone"] == MAIN)).otherwise(text_of(is_kept)).alias("text"))
-    out = parsed.where("not open").select("id", "url", text_of(lambda b: b["zone"] == MAIN).alias("text")).unionByName(with_open)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for got, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                tokens, held = stream(got)
+                change = np.zeros(len(tokens) + 1, np.int64)
+                at = np.array(places or [], np.int64)
+                np.add.at(change, at, 1)
+                np.add.at(change, at + run, -1)
+                cover = np.cumsum(change)[:-1] > 0
+                lost = {k for k, a, b in held if 2 * int(cover[a:b].sum()) >= b - a}
+                texts.append("\n\n".join(b["text"] for k, b in enumerate(got) if b["zone"] == MAIN or (b["zone"] == OPEN and k not in lost)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+    with_open = open_pages.join(covered, "key", "left").select("id", "url", "blocks", "places").mapInArrow(decide, f"id {kind}, url string, text string")
+    article = F.array_join(F.transform(F.filter("blocks", lambda b: b["zone"] == MAIN), lambda b: b["text"]), "\n\n")
+    out = parsed.where("not open").select("id", "url", article.alias("text")).unionByName(with_open)
     return out.withColumnsRenamed({"id": id_col, "url": url_col} if url_col != "url" else {"id": id_col})
 
 

@@ -157,6 +157,94 @@ def test_html_article_and_host_repeats(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>Text <span class='ad'>BUY NOW</span> more</p></article>", [("Text more", 0), ("BUY NOW", 2)]),
+    ("<article>a <i class=ad>b <b>c</b></i> d <i>e</i></article>", [("a d e", 0), ("b c", 2)]),
+    ("<article><p class='share-price'>Stock</p><p class='share-buttons'>tweet</p></article>", [("Stock", 0), ("tweet", 2)]),
+    ("<p title=it's>hello</p>", [("hello", 1)]),
+    ("<p a=\"x>y\" b='q' = c d= e>text</p>", [("text", 1)]),
+    ("a <!--> b <!-- <p>no --> c", [("a b c", 1)]),
+    ("x < y and <3 z</> end <", [("x < y and <3 z end <", 1)]),
+    ("one <b cut", [("one", 1)]),
+    ("<a x=\"b>t</a>", [("t", 1)]),
+    ("<ul><li>a<li>b</ul><svg><p>no</p></svg>c", [("a", 1), ("b", 1), ("c", 1)]),
+])
+def test_html_blocks(page, want):
+    assert html.blocks(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<a x=\"" * 50_000, "<!--" * 50_000, "<" * 100_000, "<p>" * 50_000])
+def test_html_odd_pages_take_linear_time(page):
+    assert sum(len(x) for x, _ in html.blocks(page)) <= len(page)
+
+
+def unmarked(i):
+    """A page without semantic tags: a menu of one-word items, an own story of two blocks, one link list, a footer in pieces."""
+    menu = "".join(f"<li>{w}</li>" for w in "Home News Sport Money Weather About".split())
+    story = f"<div>{' '.join(f's{i}x{j}' for j in range(12))}</div><p>{' '.join(f'e{i}x{j}' for j in range(3))}</p>"
+    return f"<div id=top><ul>{menu}</ul></div>{story}<div>Read more</div><div>Contact</div><p>Copyright 2024</p><p>All rights</p>"
+
+
+def test_html_streams_run_across_blocks(spark):
+    """One-word menu items and footer pieces are one long substring of the host; a story's short block stays."""
+    rows = [(i, f"http://h.x/{i}", unmarked(i), "z") for i in range(6)] + [(50, "http://other.x/", unmarked(50), "z"), (3, "http://h.x/3", unmarked(3), "z")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, blocks string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id == 50:  # a host of one page repeats nothing
+            assert r.text.startswith("Home\n\nNews")
+        else:
+            assert r.text == "\n\n".join([" ".join(f"s{r.page_id}x{j}" for j in range(12)), " ".join(f"e{r.page_id}x{j}" for j in range(3))])
+
+
+def test_html_open_blocks_beside_an_article(spark):
+    """A story outside <article> stays beside teaser cards that are marked as articles; what the host repeats goes."""
+    rows = [(i, f"http://h.x/{i}", f"<div>all pages of this site begin so</div><h1>Lead {i} of {i * 7} things</h1><article>card {i}</article><footer>f</footer>") for i in range(5)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Lead {i} of {i * 7} things\n\ncard {i}" for i in range(5)}
+
+
+def test_html_decides_like_all_substrings(spark):
+    """Covered places by brute force: all substrings of RUN tokens or more that enough pages of a host hold."""
+    rng = np.random.default_rng(9)
+    shared = [" ".join(f"r{k}w{j}" for j in range(int(rng.integers(2, 9)))) for k in range(6)]
+    pages = {}
+    for i in range(40):
+        parts = [shared[int(k)] if rng.random() < 0.5 else " ".join(f"o{rng.integers(40)}" for _ in range(int(rng.integers(1, 9)))) for k in rng.integers(0, 6, 6)]
+        pages[i] = (f"http://h{i % 3}.x/{i}", parts)
+    held = defaultdict(set)
+    toks = {i: [w for p in parts for w in p.split()] for i, (_, parts) in pages.items()}
+    for i, (url, _) in pages.items():
+        for n in range(html.RUN, len(toks[i]) + 1):
+            for a in range(len(toks[i]) - n + 1):
+                held[url[:9], tuple(toks[i][a : a + n])].add(i)
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(i, u, "".join(f"<p>{x}</p>" for x in parts)) for i, (u, parts) in pages.items()], "page_id long, url string, html string")).collect()}
+    lost = 0
+    for i, (url, parts) in pages.items():
+        cover = set()
+        for n in range(html.RUN, len(toks[i]) + 1):
+            for a in range(len(toks[i]) - n + 1):
+                if len(held[url[:9], tuple(toks[i][a : a + n])]) >= html.MIN_PAGES:
+                    cover |= set(range(a, a + n))
+        keep, at = [], 0
+        for x in parts:
+            n = len(x.split())
+            if 2 * len(cover & set(range(at, at + n))) < n:
+                keep.append(x)
+            at += n
+        lost += len(parts) - len(keep)
+        assert got[i] == "\n\n".join(keep)
+    assert lost > 20
+
+
+def test_html_awkward(spark):
+    schema = "page_id long, url string, html string, host string, open string, zone int"
+    rows = [(None, None, None, "h", "o", 1), (None, "u", "<p>x", "h", "o", 1), (1, None, "", "h", "o", 1), (2, "http://a/", "<p>" + "long " * 50_000, "h", "o", 1), (2, "http://a/", "<p>" + "long " * 50_000, "h", "o", 1)]
+    got = html.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 0), (0, 1), (1, 0), (2, 249_999), (2, 249_999)]
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_html_pages_are_their_documents(spark):
     """Pages were made of documents: an article is its heading and the document's lines."""
     squeeze = lambda x: re.sub(r"\s+", " ", x).strip()

@@ -1,9 +1,12 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are what fixed forms find: e-mail and IP addresses, card numbers, phone numbers. The words around a seed are a pattern of its
-kind; patterns are also met by other identifier-like strings of any form. Patterns and strings are a graph that is scored in rounds:
-a pattern is worth the share of its distinct strings that are known to be of its kind, times the logarithm of how many; a string
-is worth the joint confidence of the patterns that meet it. Strings over the threshold become known, raise other patterns, and are spans wherever a trusted pattern meets them.
+Seeds are what fixed forms find: e-mail and IP addresses, card numbers, phone numbers, and long hexadecimal runs as seeds of secrets. The
+words around a seed make several patterns of its kind: one, two or three words on the left, one or two on the right, one on
+both sides; each holds a letter. Patterns are also met by other identifier-like strings of any form. Patterns and strings are a graph
+that is scored in rounds until nothing new is known: a pattern is worth the share of its distinct strings that are known to be of its kind
+(strings of no known kind weigh half), less where they are few; a string is worth the joint confidence of the best pattern on each side of it. Strings over the
+threshold become known, raise other patterns, and are spans wherever a trusted pattern meets them. A seed of a secret is itself a span
+only there.
 
 Every stage works on matches, which are few: texts are split once a kind and leave as (piece length, match) rows, positions
 are running sums over a document's matches, and the texts themselves are never shuffled. Matches of a document are the largest group.
@@ -11,6 +14,9 @@ are running sums over a document's matches, and the texts themselves are never s
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,38 +32,37 @@ FORMS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9](?:[ ().-]*+[0-9]){8,14}+(?![ ().-]*+[0-9])",
 }
-#: A text without it has no match; digits in such a row are asked for by the cheap search first.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: What else may be an identifier: a run with a digit in it.
+#: A text that holds none of these has no match; digits in such a row are asked for by the cheap search first.
+NEEDS = {"email": ("@",), "ip": (".",), "phone": ("+",), "spelled": ("(at)", "[at]", "{at}")}
+#: What else may be an identifier: a run with digits in it, or an address whose sign is spelled out.
 OTHER = r"(?<![0-9A-Za-z@._()+/-])[A-Za-z(+._@/-]*+[0-9][0-9A-Za-z@._()+/-]*+"
+SPELLED = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[(\[{]at[)\]}] ?[A-Za-z0-9-]++(?:(?:\.| ?[(\[{]dot[)\]}] ?)[A-Za-z0-9-]++)++"
+SECRET = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
 LEAST_DIGITS = 4
-ROUNDS = 3
 LEAST_SUPPORT = 4
 LEAST_SHARE = 0.6
-TRUST = 0.8
+TRUST = 0.65
+#: Characters of context on each side; a word that reaches over the edge counts by the part inside.
+CONTEXT = 120
 
 
 def _matches(texts: DataFrame, kind: str, form: str) -> DataFrame:
-    """(id, th, kind, start, end, found, left, right) of each match: code points, end exclusive, and the two words on each side."""
-    needs = NEEDS.get(kind)
-    has = F.col("body").contains(needs) if needs else F.col("body").rlike("[0-9]")
+    """(id, th, kind, start, end, found, left, right) of each match: code points, end exclusive, and the words on each side, back to the match before."""
+    has = reduce(or_, [F.col("body").contains(x) for x in NEEDS[kind]]) if kind in NEEDS else F.col("body").rlike("[0-9]")
     split = texts.where(has).select(
         "id", "th", F.split("body", form, -1).alias("pieces"), F.regexp_extract_all("body", F.lit(form), 0).alias("found")
     ).where(F.size("found") > 0)
     cut = F.transform(
         F.col("found"),
         lambda x, i: F.struct(
-            i.alias("i"), F.char_length(F.get("pieces", i)).alias("gap"), x.alias("found"), F.right(F.get("pieces", i), F.lit(60)).alias("before"), F.left(F.get("pieces", i + 1), F.lit(60)).alias("after")
+            i.alias("i"), F.char_length(F.get("pieces", i)).alias("gap"), x.alias("found"), F.right(F.get("pieces", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("pieces", i + 1), F.lit(CONTEXT)).alias("after")
         ),
     )
     rows = split.select("id", "th", F.explode(cut).alias("m")).select("id", "th", "m.*").distinct()
     until = Window.partitionBy("id", "th").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.char_length("found")).over(until)
-    words = lambda c: F.lower(F.regexp_replace(c, "[0-9]", "0"))
-    return rows.withColumn("end", end).select(
-        "id", "th", F.lit(kind).alias("kind"), (F.col("end") - F.char_length("found")).alias("start"), "end", "found",
-        words(F.regexp_extract("before", r"((?:\S+\s+)?\S*\s*)$", 1)).alias("left"), words(F.regexp_extract("after", r"^(\s*\S*(?:\s+\S+)?)", 1)).alias("right"),
-    )
+    words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "[0-9]", "0")), r"\s+"), lambda w: w != "")
+    return rows.withColumn("end", end).select("id", "th", F.lit(kind).alias("kind"), (F.col("end") - F.char_length("found")).alias("start"), "end", "found", words("before").alias("left"), words("after").alias("right"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -78,38 +83,46 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return out
 
 
-def _bootstrap(seeds: DataFrame, others: DataFrame, shelf: Shelf, rounds: int) -> DataFrame:
-    """(id, th, kind, start, end) of the strings in others that trusted patterns name."""
-    edges = lambda df: df.select(F.xxhash64("left", "right").alias("pattern"), F.lower("found").alias("string"), *(["kind"] if "kind" in df.columns else []))
-    seen = shelf.keep(edges(seeds).distinct())
-    may = shelf.keep(edges(others.drop("kind")).distinct())
-    # Only patterns that a seed meets can ever be trusted at first; later rounds add those of new strings.
-    known = seen.select("kind", "string").distinct()
-    trusted = None
-    for _ in range(rounds):
-        all_edges = seen.select("pattern", "string").union(may).distinct()
-        size = all_edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SUPPORT)
-        support = all_edges.join(known, "string").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_SUPPORT)
-        worth = support.join(size, "pattern").where(F.col("k") >= LEAST_SHARE * F.col("n"))
-        trusted = shelf.keep(worth.select("pattern", "kind", (F.col("k") / F.col("n") * (1 - 1 / (1 + F.log2("k")))).alias("worth")))
-        if trusted.isEmpty():
-            break
-        found = may.join(trusted, "pattern").groupBy("kind", "string").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-9)))))).alias("score")).where(F.col("score") >= TRUST)
-        new = shelf.keep(known.union(found.select("kind", "string")).distinct())
-        settled = new.count() == known.count()
-        known = new
-        if settled:
-            break
-    at = others.drop("kind").withColumn("pattern", F.xxhash64("left", "right")).withColumn("string", F.lower("found"))
-    return at.join(trusted.select("pattern", "kind"), "pattern").join(known, ["kind", "string"]).select("id", "th", "kind", "start", "end").distinct()
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, shelf: Shelf | None = None) -> DataFrame:
-    """(id, base, added) for each row: arrays of (start, kind_at, kind, end), in this order of place and kind.
-
-    A null or empty text has no spans. Repeated rows have the same spans; rows with one id and different texts are told apart
-    by their texts. A null id is carried; an empty table gives an empty table; other columns are not read. An added span never
-    overlaps a base one; where two kinds claim a string, both are given.
+def _patterns(matches: DataFrame) -> DataFrame:
+    """The matches, one row for each of their patterns: its side and hash."""
+    said = lambda words, n, of: F.when(F.size(words) >= n, F.concat_ws(" ", F.lit(f"{of}{n}"), F.slice(words, -n, n) if of == "l" else F.slice(words, 1, n)))
+    left, right = F.col("left"), F.col("right")
+    both = F.when((F.size(left) >= 1) & (F.size(right) >= 1), F.concat_ws(" ", F.lit("b"), F.slice(left, -1, 1), F.slice(right, 1, 1)))
+    texts = [("l", said(left, 1, "l")), ("l", said(left, 2, "l")), ("l", said(left, 3, "l")), ("r", said(right, 1, "r")), ("r", said(right, 2, "r")), ("b", both)]
+    each = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), text.alias("text")) for side, text in texts]))
+    named = matches.withColumn("p", each).where(F.col("p.text").rlike(r"^\S+ .*\p{L}"))
+    return named.select("id", "th", "start", "end", "kind", F.lower("found").alias("string"), F.col("p.side").alias("side"), F.xxhash64("p.text").alias("pattern"))
+
+
+def _bootstrap(seeds: DataFrame, others: DataFrame, shelf: Shelf) -> DataFrame:
+    """(id, th, kind, start, end) of the strings in others that trusted patterns name; a seed in others has a kind, the rest none."""
+    met = shelf.keep(_patterns(others))
+    edges = shelf.keep(_patterns(seeds).select("pattern", "side", "string").unionByName(met.select("pattern", "side", "string")).distinct())
+    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SUPPORT)
+    may = shelf.keep(edges.join(size, "pattern"))
+    known = shelf.keep(seeds.select("kind", F.lower("found").alias("string")).unionByName(others.where("kind is not null").select("kind", F.lower("found").alias("string"))).distinct())
+    n_known = known.count()
+    while True:
+        of_kind = may.join(known, "string").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k"))
+        told = may.join(known.select("string").distinct(), "string").groupBy("pattern").agg(((F.count(F.lit(1)) + F.first("n")) / 2).alias("weight"))
+        share = of_kind.where(F.col("k") >= LEAST_SUPPORT).join(told, "pattern").withColumn("share", F.col("k") / F.col("weight")).where(F.col("share") >= LEAST_SHARE)
+        trusted = shelf.keep(share.select("pattern", "kind", (F.col("share") * (1 - 1 / (1 + F.log2("k")))).alias("worth")))
+        best = may.join(trusted, "pattern").groupBy("kind", "string", "side").agg(F.max("worth").alias("worth"))
+        found = best.groupBy("kind", "string").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-9)))))).alias("score")).where(F.col("score") >= TRUST)
+        new = shelf.keep(known.unionByName(found.select("kind", "string")).distinct())
+        n_new = new.count()
+        if n_new == n_known:
+            return met.drop("kind").join(trusted.select("pattern", "kind"), "pattern").join(known, ["kind", "string"]).select("id", "th", "kind", "start", "end").distinct()
+        known, n_known = new, n_new
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shelf: Shelf | None = None) -> DataFrame:
+    """(id, base, added, spans) for each row: arrays of (start, kind_at, kind, end), in this order of place and kind.
+
+    A null or empty text has no spans; a very long one is searched whole. Repeated rows have the same spans and count once as
+    evidence, which goes by distinct strings; rows with one id and different texts are told apart by their texts. A null id is carried;
+    an empty table gives an empty table; other columns are not read. An added span never overlaps a base one; where two kinds claim a
+    string, both are given.
     """
     shelf = shelf or Shelf(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -117,11 +130,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seeds = shelf.keep(base_spans(texts))
     own = seeds.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     digits = F.char_length(F.regexp_replace("found", "[^0-9]", ""))
-    others = _matches(texts, "other", OTHER).where((digits >= LEAST_DIGITS) & (F.char_length("found") >= 6))
+    others = _matches(texts, "other", OTHER).where((digits >= LEAST_DIGITS) & (F.char_length("found") >= 6)).unionByName(_matches(texts, "spelled", SPELLED))
+    others = others.withColumn("kind", F.when(F.col("found").rlike(SECRET), "secret"))
     free = others.join(own.withColumnsRenamed({"id": "own_id", "th": "own_th"}), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")), "left")
     free = shelf.keep(free.where(F.coalesce(~F.exists("own", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])), F.lit(True))).drop("own", "own_id", "own_th"))
-    added = _bootstrap(seeds, free, shelf, rounds)
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    added = shelf.keep(_bootstrap(seeds, free, shelf))
+    place = F.array_position(F.array(*map(F.lit, (*KINDS, "secret"))), F.col("kind")).cast("int")
     span = F.struct(F.col("start"), place.alias("kind_at"), "kind", "end", "added")
     spans = seeds.select("id", "th", "kind", "start", "end", F.lit(False).alias("added")).unionByName(added.withColumn("added", F.lit(True)))
     spans = spans.groupBy("id", "th").agg(F.array_sort(F.collect_list(span)).alias("spans")).withColumnsRenamed({"id": "s_id", "th": "s_th"})
@@ -134,4 +148,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(number, KINDS), F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("spans").alias("spans"))
+    return found.select("doc_id", *map(number, KINDS), F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("spans").alias("spans"), F.size("added").cast("long").alias("n_added"))

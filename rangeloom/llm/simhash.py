@@ -1,11 +1,16 @@
 """SimHash near-dedup: 64-bit fingerprints of four-word shingles, linked at four or fewer differing bits.
 
-Exact pairs come from a forest of vantage-point trees. A pair that differs in at most `radius` of 64 bits agrees on one of
-radius + 1 blocks of bits, so there is a tree a block: its shards are the sets at one place of the block, where the
-triangle bound for distance zero lets no pair straddle. A shard that is too large is split further by Hamming distance from a vantage point of its own over
-all 64 bits: a point belongs to the ring of its distance and, as |d(x, v) - d(y, v)| <= d(x, y), is also sent as a query to
-each ring whose border lies within the radius. Inside a shard the same bound prunes candidates around further
-vantage points. A shard emits links that span its groups, never all pairs, so a group of n copies costs n links.
+Exact pairs come from a forest of vantage-point trees. In the distance over all 64 bits a split by a vantage point shrinks nothing at
+this radius: distances of unlike fingerprints crowd around 32 +- 4, so nearly all of them overlap a border (README has figures). So
+each tree measures distance over some of the bits only. The bits are cut into blocks; a pair at most `radius` apart differs in at most
+`radius` of them, so in some tree, of the blocks that remain, its distance is zero and by the triangle bound it is at one distance
+from any vantage point: no pair straddles a border there, and the shards are the places of a tree's bits. There are more and narrower blocks
+for more fingerprints, so that a shard of unlike ones stays at about SHARD_MEAN at any size.
+
+A shard of more than SHARD_ROWS holds like ones. It is dealt to cells that all get the same few vantage points, which bring a
+dense group together from any number of cells; what lies outside the shard's largest group is then compared with all of the
+shard, cell by cell. Inside a cell, candidates are pruned by the triangle bound around two vantage points over all bits, and links that
+span its groups are emitted, never all pairs, so a group of n copies costs n links.
 
 Everything runs over distinct fingerprints: copies were merged to (fingerprint, smallest doc_id) before any shuffle by
 shard. Components are found by alternating large-star and small-star steps over the links, each written to the shared
@@ -15,6 +20,7 @@ folder; no fingerprint, link or component comes to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +30,11 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import Shelf, partitions, table, text_or_empty
 
 RADIUS = 4
-RING = 8
-#: A shard of more fingerprints is split by a vantage point, as often as it still makes shards smaller.
+SHARD_MEAN = 1_000
 SHARD_ROWS = 20_000
+VANTAGES = 16
+#: Into how many parts the rows of one node are dealt where stars are joined.
+SALTS = 8
 
 
 def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
@@ -119,27 +127,22 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
     return links
 
 
-def _rings(shards: DataFrame, radius: int, most: int, shelf: Shelf, levels: int = 3) -> DataFrame:
-    """Splits shards of more than `most` rows by rings around a vantage point, with overlap; (shard, fp)."""
-    for _ in range(levels):
-        large = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > most)
-        if large.isEmpty():
-            break
-        distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-        near = F.array_distinct(F.array(*[F.floor((distance + d) / RING) for d in (-radius, 0, radius)]))
-        met = shards.join(large, "shard", "left")
-        cut = F.when(F.col("vantage").isNull(), F.array(F.col("shard"))).otherwise(F.transform(near, lambda ring: F.xxhash64(F.col("shard"), F.col("vantage"), ring)))
-        shards = shelf.keep(met.select(F.explode(cut).alias("shard"), "fp"))
-    return shards
+def masks(n: int, radius: int = RADIUS, mean: int = SHARD_MEAN, bits: int = 64) -> list[int]:
+    """The bits of each tree for n fingerprints: any pair at most radius bits apart is equal on all bits of one of them."""
+    blocks = radius + 1
+    while n > mean * 2 ** (bits * (blocks - radius) / blocks) and blocks < radius + 4:
+        blocks += 1
+    edges = [round(bits * k / blocks) for k in range(blocks + 1)]
+    block = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    return [sum(some) for some in combinations(block, blocks - radius)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, shelf: Shelf | None = None) -> DataFrame:
-    """(a, b): links between distinct fingerprints `fp` at most radius bits apart that span every group, exactly."""
-    shelf = shelf or Shelf(distinct.sparkSession)
-    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    keys = [F.struct(F.lit(k).alias("tree"), F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo).alias("place")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    trees = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select(F.xxhash64("key.tree", "key.place").alias("shard"), "fp")
-    trees = _rings(trees, radius, shard_rows, shelf)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _linked(shards: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links that span the groups inside each shard of (shard, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(fps: np.ndarray) -> pa.RecordBatch:
@@ -148,38 +151,72 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
             pairs = np.array(spanning_links(fps, radius), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(signed[pairs[:, 0]]), pa.array(signed[pairs[:, 1]])], ["a", "b"])
 
-        held_key, held = None, []
+        key, held = None, []  # the shard that may go on in the next batch
         for batch in batches:
             shard, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if held and shard[lo] != held_key:
-                    if len(held) > 1 or len(held[0]) > 1:
-                        yield found(np.concatenate(held))
-                    held = []
-                held_key = shard[lo]
-                held.append(fps[lo:hi].copy())
+            cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(0, np.int64)
+            if held and len(shard) and shard[0] != key:
+                yield found(np.concatenate(held))
+                held = []
+            # Shards of one row, most of them, are passed over; the last may go on.
+            for k in np.flatnonzero((np.diff(cuts) > 1) | (np.arange(len(cuts) - 1) == len(cuts) - 2) | ((np.arange(len(cuts) - 1) == 0) & bool(held))).tolist():
+                lo, hi = cuts[k], cuts[k + 1]
+                part = [*held, fps[lo:hi].copy()]
+                held = []
+                if k == len(cuts) - 2:
+                    key, held = shard[lo], part
+                else:
+                    yield found(np.concatenate(part))
         if held:
             yield found(np.concatenate(held))
 
-    dealt = trees.repartition(partitions(distinct.sparkSession), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return shards.repartition(partitions(shards.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, shelf: Shelf | None = None, mean: int = SHARD_MEAN) -> DataFrame:
+    """(a, b): links between distinct fingerprints `fp` at most radius bits apart that span every group, exactly."""
+    shelf = shelf or Shelf(distinct.sparkSession)
+    of_tree = [F.struct(F.lit(k).alias("tree"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("place")) for k, m in enumerate(masks(distinct.count(), radius, mean))]
+    trees = distinct.select("fp", F.explode(F.array(*of_tree)).alias("key")).select(F.xxhash64("key.tree", "key.place").alias("shard"), "fp")
+    large = shelf.keep(trees.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows))
+    if large.isEmpty():
+        return _linked(trees, radius)
+    small = _linked(trees.join(large, "shard", "left_anti"), radius)
+    cell = F.pmod(F.xxhash64("fp"), F.col("cells"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    member = shelf.keep(trees.join(large, "shard").withColumn("cells", F.ceil(F.col("n") / shard_rows)).withColumn("home", cell))
+    vantage = F.pmod(F.hash("fp"), F.greatest(F.lit(1), F.floor(F.col("n") / VANTAGES))) == 0
+    dealt = member.withColumn("at", F.explode(F.when(vantage, every(F.col("cells"))).otherwise(F.array("home"))))
+    near = shelf.keep(_linked(dealt.select(F.xxhash64("shard", "at").alias("shard"), "fp"), radius))
+    groups = components(near, shelf)
+    rooted = shelf.keep(member.join(groups, member["fp"] == groups["node"], "left").select("shard", "fp", "cells", "home", "n", F.coalesce("root", "fp").alias("root")))
+    top = rooted.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("shard").agg(F.max(F.struct("k", "root")).alias("top"))
+    met = rooted.join(top, "shard").withColumn("tiles", F.ceil((F.col("n") - F.col("top.k")) / shard_rows)).where("tiles > 0").withColumn("tile", F.pmod(F.hash("fp"), F.col("tiles")))
+    inside = met.withColumn("tile", F.explode(every(F.col("tiles"))))
+    outside = met.where(F.col("root") != F.col("top.root")).withColumn("home", F.explode(every(F.col("cells"))))
+    columns = [F.xxhash64("shard", F.col("tile").cast("long"), "home").alias("shard"), "fp"]
+    return small.union(near).union(_linked(inside.select(*columns).union(outside.select(*columns)).distinct(), radius)).distinct()
 
 
 def components(edges: DataFrame, shelf: Shelf, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the smallest node of its component.
 
-    Large-star and small-star in turn until nothing changes; each round is a written table of at most one row a link.
+    Large-star and small-star in turn until nothing changes; each round is a written table of at most one row a link. A node's
+    smallest neighbour is met in SALTS parts, so the rows of one node are no single task.
     """
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+
+    def starred(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return rows.withColumn("salt", salt).join(low.select("*", salts), ["u", "salt"])
+
     now = shelf.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = starred(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.toDF("u", "v")).distinct()
+        small = starred(large, low2).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.toDF("u", "v")).distinct()
         new = shelf.keep(small)
         same = new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty()
         shelf.drop(now)
@@ -189,6 +226,12 @@ def components(edges: DataFrame, shelf: Shelf, most_rounds: int = 60) -> DataFra
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def classes_of(grouped: DataFrame, key: str, least: str) -> DataFrame:
+    """(key, component_id): the smallest `least` of each root in (key, least, root); a root's rows are met in SALTS parts."""
+    named = grouped.groupBy("root").agg(F.min(least).alias("component_id")).select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    return grouped.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(named, ["root", "salt"]).select(key, "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_rows: int = SHARD_ROWS, shelf: Shelf | None = None) -> DataFrame:
     """(id, fp, component_id) for each row: the smallest id reachable over links of at most `radius` bits.
 
@@ -201,9 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = of.groupBy("fp").agg(F.min("id").alias("least"))
     joined = components(links(distinct.select("fp"), radius, shard_rows, shelf), shelf)
     grouped = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(named, "root").select("fp", "component_id")
-    return of.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return of.join(classes_of(grouped, "fp", "least"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,6 +391,39 @@ def test_simhash_large_dense_group():
     assert len(got) < len(fps)
 
 
+@pytest.mark.parametrize("mean,trees", [(1_000, 5), (0.5, 15), (0.0005, 35)])
+def test_simhash_every_pair_shares_a_shard(mean, trees):
+    """All ways for two fingerprints to differ in four of the blocks leave a tree on whose bits they are equal."""
+    rng = np.random.default_rng(2)
+    got = simhash.masks(10_000, mean=mean)
+    assert len(got) == trees
+    for _ in range(3000):
+        flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(flips & m == 0 for m in got)
+
+
+@pytest.mark.parametrize("mean,shard", [(1_000, 20_000), (4, 20_000), (1_000, 30)])
+def test_simhash_links_random_and_dense(spark, mean, shard):
+    """Components of random, chained and dense fingerprints equal those of all pairs, with many trees and in shards of many cells."""
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, 1500, np.uint64)
+    near = [int(fps[0])]
+    for _ in range(500):  # a dense ball, and chains through it
+        near.append(near[int(rng.integers(len(near)))] ^ (1 << int(rng.integers(12))) ^ (1 << int(rng.integers(64)) if rng.random() < 0.1 else 0))
+    chains = [int(f) ^ (1 << int(a)) ^ (1 << int(b)) for f, a, b in zip(fps[1:400], rng.integers(0, 64, 399), rng.integers(0, 64, 399))]
+    fps = np.unique(np.concatenate([fps, np.array([*near, *chains], np.uint64)]))
+    got = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), shard_rows=shard, mean=mean).collect()
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    ours, true = simhash.Groups(len(fps)), simhash.Groups(len(fps))
+    for r in got:
+        assert int(np.bitwise_count(fps[at[r.a]] ^ fps[at[r.b]])) <= 4
+        ours.join(at[r.a], at[r.b])
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4).tolist():
+            true.join(i, j)
+    assert [ours.find(i) for i in range(len(fps))] == [true.find(i) for i in range(len(fps))]
+
+
 def test_simhash_awkward(awkward, nothing):
     rows = simhash.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()

@@ -685,42 +685,50 @@ def test_language_base(spark, texts):
         assert r.score < 0
 
 
-def scores_of(texts, folds=10, depth=2, least=2, gain=2.0, discount=0.75):
-    """The same model in plain dictionaries: (score of each text, states by level)."""
+def scores_of(texts, folds=10, depth=2):
+    """The same model in plain dictionaries: (score of each text, states by level, its parts)."""
+    least, gain, discount = language.LEAST, language.GAIN, language.DISCOUNT
     tok = {i: [*words(t.translate(LOWER)), None] for i, t in texts.items()}
     train = [x for i, x in tok.items() if zlib.crc32(b"" if i is None else str(i).encode()) % folds]
     one = Counter(w for x in train for w in x)
     n, v = sum(one.values()), len(one)
     p0 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    states = [defaultdict(Counter) for _ in range(depth + 1)]  # by level: context -> next words
-    kept = [set() for _ in range(depth + 1)]
-
-    def context(x, i, k):
-        return None if i < k - 1 else tuple(["<" if j < 0 else x[j] for j in range(i - k, i)])
-
-    def p(x, i, most):
-        out = p0(x[i])
-        for k in range(1, most + 1):
-            c = context(x, i, k)
-            if c is None or c not in kept[k]:
+    all_pairs = [one, *(Counter() for _ in range(depth))]  # by level: (context, next word) in all training texts
+    context = lambda x, i, k: None if i < k - 1 else tuple("<" if j < 0 else x[j] for j in range(i - k, i))
+    totals = [Counter() for _ in range(depth + 1)]
+    for k in range(1, depth + 1):
+        for x in train:
+            for i in range(len(x)):
+                if context(x, i, k) is not None:
+                    all_pairs[k][context(x, i, k), x[i]] += 1
+                    totals[k][context(x, i, k)] += 1
+    states = [{} for _ in range(depth + 1)]  # retained context -> (kept symbols' counts, how often others follow)
+
+    def p(c, w, most):
+        out = p0(w)
+        for k in range(1, min(most, len(c)) + 1):
+            got = states[k].get(c[-k:])
+            if got is None:
                 break
-            got = states[k][c]
-            out = (max(got[x[i]] - discount, 0) + discount * len(got) * out) / sum(got.values())
+            out = (max(got[0].get(w, 0) - discount, 0) + (got[1] + discount * len(got[0])) * out) / totals[k][c[-k:]]
         return out
 
     for k in range(1, depth + 1):
-        below = Counter()
-        for x in train:
-            for i in range(len(x)):
-                c = context(x, i, k)
-                if c is not None and (k == 1 or context(x, i, k - 1) in kept[k - 1]):
-                    states[k][c][x[i]] += 1
-                    below[c] += math.log(p(x, i, k - 1))
-        for c, got in states[k].items():
-            total = sum(got.values())
-            if total >= least and sum(m * math.log(m / total) for m in got.values()) - below[c] > gain * len(got):
-                kept[k].add(c)
-    return {i: sum(math.log10(p(x, j, depth)) for j in range(len(x))) for i, x in tok.items()}, [len(k) for k in kept], (p0, p, states, kept, one)
+        kept = defaultdict(dict)
+        for (c, w), m in all_pairs[k].items():
+            if totals[k][c] >= least and (k == 1 or c[1:] in states[k - 1]):
+                if (one[w] if k == 1 else all_pairs[k - 1][c[1:], w]) >= least:
+                    kept[c][w] = m
+        for c, got in kept.items():
+            total, rest = totals[k][c], totals[k][c] - sum(got.values())
+            back = (rest + discount * len(got)) / total
+            grown = rest * math.log(back)
+            for w, m in got.items():
+                low = math.exp(-round(-8 * math.log(p(c, w, k - 1))) / 8)
+                grown += m * math.log((max(m - discount, 0) / total + back * low) / low)
+            if grown > gain * len(got):
+                states[k][c] = (got, rest)
+    return {i: sum(math.log10(p(tuple("<" if j < 0 else x[j] for j in range(max(i2 - depth, -1), i2)), x[i2], depth)) for i2 in range(len(x))) for i, x in tok.items()}, [len(k) for k in states], (p0, p, states, one)
 
 
 @pytest.mark.parametrize("batch", [4 << 20, 30_000])
@@ -732,11 +740,10 @@ def test_language_tree_is_the_plain_model(spark, texts, batch):
 
 
 def test_language_distributions_sum_to_one(texts):
-    _, _, (p0, p, _, kept, one) = scores_of(texts)
+    _, _, (p0, p, states, one) = scores_of(texts)
     rest = 1 - sum(map(p0, one))
-    for c in [*sorted(kept[1], key=str)[:20], *sorted(kept[2], key=str)[:20]]:
-        x = [w for w in c if w != "<"]
-        assert math.isclose(sum(p([*x, w], len(x), 2) for w in one) + rest * p([*x, "no such word"], len(x), 2) / p0("no such word"), 1, rel_tol=1e-9)
+    for c in [*sorted(states[1], key=str)[:20], *sorted(states[2], key=str)[:20]]:
+        assert math.isclose(sum(p(c, w, 2) for w in one) + rest * p(c, "no such word", 2) / p0("no such word"), 1, rel_tol=1e-9)
 
 
 def test_language_hot_contexts(spark, texts):

@@ -237,9 +237,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 name, n = repeated_substrings([(host, p, stream(got)[0]) for p, (host, got) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))], run)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], ["name", "pages"])
 
-    # Where no page has an open block there is nothing to decide.
-    hosts = parsed.where("open").select("host").distinct()
-    counted = parsed.join(hosts, "host", "left_semi").select("host", "blocks").mapInArrow(sort_suffixes, "name long, pages long").groupBy("name").agg(F.sum("pages").alias("pages"))
+    counted = parsed.select("host", "blocks").mapInArrow(sort_suffixes, "name long, pages long").groupBy("name").agg(F.sum("pages").alias("pages"))
     repeated = counted.where(F.col("pages") >= min_pages).select("name")
 
     def open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates their accuracies, the posterior decides.
 
+Strict rules look for one kind of junk each and are seldom wrong; loose ones look for a little of it, vote good where there is none, and
+are outvoted by the others where they are alone.
+
 One Arrow map over the scan measures each text and lets the rules vote. The distinct vote patterns, at most 3**rules of
 them whatever the corpus, are counted over all documents; expectation-maximisation runs on those counts on the driver, and
 each pattern's posterior goes back as a literal map of the same bound. Documents are never collected, and a second
@@ -9,6 +12,7 @@ look at them is a map lookup.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +23,15 @@ from rangeloom.llm.common import WHITE_SPACE, Shelf, table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-#: The share of good texts that a rule may vote bad.
-MOST_WRONG = 0.005
-RULES = ("symbols", "capitals", "repeats", "lines", "length", "marks", "letters")
+#: Between which shares of the good texts that a rule votes on it may vote bad, for strict and loose rules. Beliefs about rules, not fitted to labels.
+WRONG_STRICT, WRONG_LOOSE = (0.0005, 0.005), (0.05, 0.2)
+STRICT = ("symbols", "capitals", "repeats", "lines", "marks", "letters", "doubled")
+LOOSE = ("some symbols", "some capitals", "some repeats", "some doubled", "length", "word length")
+RULES = STRICT + LOOSE
 
 
-def measure(text: str) -> tuple[int, int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and how many capitals and exclamation marks."""
+def measure(text: str) -> tuple[int, int, int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and how many capitals, exclamation marks and words equal to the one before."""
     data = text.encode()
     words = data.split()
     n = len(words)
@@ -48,64 +54,57 @@ def measure(text: str) -> tuple[int, int, int, int, int, int, int]:
     lines = [x for x in text.split("\n") if x.strip(WHITE_SPACE)]
     raw = np.frombuffer(data, np.uint8)
     capitals = int(((raw >= 65) & (raw <= 90)).sum())
-    return n, len(text) - white, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, capitals, text.count("!")
+    return n, len(text) - white, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, capitals, text.count("!"), sum(map(eq, words, words[1:]))
 
 
-def votes(n: int, chars: int, symbols: int, dup_lines: int, repeats: int, capitals: int, marks: int) -> tuple[int, ...]:
+def votes(n: int, chars: int, symbols: int, dup_lines: int, repeats: int, capitals: int, marks: int, doubled: int) -> tuple[int, ...]:
     """One vote a rule, in the order of RULES: 1 good, 0 bad, 2 abstains.
 
-    A rule that looks for one kind of junk abstains where it finds none: its silence is no praise of the text.
+    A strict rule abstains where it finds no junk: its silence is no praise of the text. A text without words is voted bad by its length alone.
     """
     if n == 0:
-        return (2, 2, 2, 2, 0, 2, 2)
+        return (2,) * 11 + (0, 2)
+    bad_if = lambda x: 0 if x else 2
+    graded = lambda bad, good: 0 if bad else 1 if good else 2
     return (
-        0 if symbols >= 0.3 * n else 2,
-        0 if capitals >= 0.4 * chars else 2,
-        0 if repeats >= 0.2 * n else 2,
-        0 if dup_lines >= 0.3 * n else 2,
-        1 if n >= 30 else 0 if n < 10 else 2,
-        0 if marks >= 0.3 * n else 2,
-        0 if chars > 30 * n else 2,
-    )
+        bad_if(symbols >= 0.3 * n), bad_if(capitals >= 0.4 * chars), bad_if(repeats >= 0.2 * n), bad_if(dup_lines >= 0.3 * n), bad_if(marks >= 0.3 * n), bad_if(chars > 30 * n), bad_if(doubled >= 0.3 * n),
+        graded(symbols >= 0.03 * n, symbols == 0), graded(capitals >= 0.15 * chars, capitals <= 0.1 * chars), graded(repeats >= 0.05 * n, repeats == 0 and n >= 50),
+        graded(doubled >= 0.1 * n, doubled <= 0.02 * n and n >= 50), graded(n < 10, n >= 30), graded(not 3 * n <= chars <= 12 * n, 4 * n <= chars <= 8 * n),
+    )
 
 
-def fit_accuracies(patterns: dict[str, int], rounds: int = 60, prior: float = 0.85) -> dict[str, float]:
+def fit_accuracies(patterns: dict[str, int], rounds: int = 100, prior: float = 0.85) -> dict[str, float]:
     """Posterior probability of good for each vote pattern, by EM over their counts.
 
-    A rule has, for good and for bad texts each, the rates at which it votes good, votes bad or abstains; an abstention
-    itself is no evidence, as each rule knows one kind of junk only. The share of
-    good texts (prior) is given, as votes on one kind of junk each can't tell it. Start: three bad
-    texts in ten and one good text in a hundred are voted bad. Pseudo-counts keep the rates inside (0, 1), so that a corpus
-    of one pattern is well defined. Rules are written for precision, which the fit holds them to: none votes bad on more
-    than MOST_WRONG of the good texts, and none is read backwards. No documents give an empty map.
+    A rule has, for good and for bad texts each, the rate at which it votes bad when it votes; an abstention is no evidence.
+    The share of good texts (prior) is given: estimated too, the fit drifts to a single class, as each strict rule knows one kind
+    of junk only. On good texts the rates stay inside WRONG_STRICT and WRONG_LOOSE, so one strict vote decides and a loose one can be
+    outvoted; no rule is read backwards. Pseudo-counts keep the rates inside (0, 1), so that a corpus of one pattern is well
+    defined. Patterns with equal votes have equal posteriors; no documents give an empty map.
     """
     if not patterns:
         return {}
     v = np.array([[int(c) for c in p] for p in patterns])
     count = np.array(list(patterns.values()), float)
-    hot = np.stack([v == 0, v == 1, v == 2]).astype(float)  # outcome, pattern, rule
-    rate = {"good": np.array([0.01, 0.5, 0.49])[:, None].repeat(v.shape[1], 1), "bad": np.array([0.3, 0.35, 0.35])[:, None].repeat(v.shape[1], 1)}
-    start = {k: x.copy() for k, x in rate.items()}
+    bad, voted = (v == 0).astype(float), (v != 2).astype(float)
+    lo, hi = (np.array([WRONG_STRICT[k]] * len(STRICT) + [WRONG_LOOSE[k]] * len(LOOSE)) for k in (0, 1))
+    start = {"good": hi / 2, "bad": np.full(len(RULES), 0.5)}
+    rate = dict(start)
     for _ in range(rounds):
-        a = np.log(prior) + np.einsum("opr,or->p", hot[:2], np.log(rate["good"][:2]))
-        b = np.log1p(-prior) + np.einsum("opr,or->p", hot[:2], np.log(rate["bad"][:2]))
-        post = 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
+        odds = {k: bad @ np.log(r) + (voted - bad) @ np.log1p(-r) for k, r in rate.items()}
+        post = 1 / (1 + np.exp(np.clip(np.log1p(-prior) - np.log(prior) + odds["bad"] - odds["good"], -500, 500)))
         share = {"good": count * post, "bad": count * (1 - post)}
-        for k in rate:
-            rate[k] = (np.einsum("p,opr->or", share[k], hot) + 10 * start[k]) / (share[k].sum() + 10)
-        rate["good"][0] = np.minimum(rate["good"][0], MOST_WRONG)
-        rate["bad"][0] = np.maximum(rate["bad"][0], rate["good"][0])
-        rate["good"][1] = np.maximum(rate["good"][1], rate["bad"][1])
-        for k in rate:
-            rate[k] /= rate[k].sum(0)
+        rate = {k: (x @ bad + 10 * start[k]) / (x @ voted + 10) for k, x in share.items()}
+        rate["good"] = np.clip(rate["good"], lo, hi)
+        rate["bad"] = np.maximum(rate["bad"], rate["good"])
     return dict(zip(patterns, (round(float(x), 12) for x in post)))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, shelf: Shelf | None = None) -> DataFrame:
     """(id, the features, base_failed, quality, kept) for each row.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged alike, a null id is carried;
-    an empty table gives an empty table. Other columns are not read.
+    A null or empty text has no words and fails the base rules; a very long one is measured whole. Repeated rows are judged alike, a
+    null id is carried; an empty table gives an empty table. Other columns are not read. A posterior of exactly `least` is kept.
     """
     shelf = shelf or Shelf(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]

@@ -530,6 +530,37 @@ def test_toxicity_counterfactuals_are_neutral():
     assert gap(toxicity.fit(made)) < 0.5 * gap(toxicity.fit(made, penalty=0.0))
 
 
+def test_toxicity_identity_terms_in_training(spark):
+    """Labelled texts name groups, mostly in toxic ones: trained through Spark, the penalty cuts the false positives on neutral mentions."""
+    rng = np.random.default_rng(8)
+    filler = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 400, k))
+    rows, labels, plain = [], [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        group = "muslim" if toxic and rng.random() < 0.8 else "christian" if rng.random() < 0.5 else "friends"
+        insult = ("idiot", "moron", "trash")[i % 9 // 3] if toxic else "kindly"
+        rows.append((i, f"{filler(12)} {group} people {insult if rng.random() < 0.6 else ''} {filler(6)}"))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, f"my muslim neighbour {filler(15)}") for i in range(200)] + [(1000, "a muslim idiot and moron, trash")], "doc_id long, text string")
+    wrong = {}
+    for name, penalty in (("with", 5.0), ("without", 0.0)):
+        model = toxicity.train(docs, marks, penalty=penalty)
+        got = {r.doc_id: r.score for r in toxicity.score_texts(neutral, model).collect()}
+        assert got[1000] > 0.5
+        wrong[name] = sum(got[i] >= 0.5 for i in range(200))
+    assert wrong["without"] > 100 and wrong["with"] < 0.4 * wrong["without"], wrong
+
+
+def test_toxicity_labels(spark):
+    """Null and repeated labels, repeated ids: each id is one row of the fit, whatever the tables hold."""
+    rows = [(i, f"{'idiot' if i % 2 else 'nice'} day number {i}") for i in range(60)]
+    docs, twice = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows + rows[:20] * 3, "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(60)]
+    plain = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert plain[0] and toxicity.train(twice, spark.createDataFrame(marks * 2 + [(None, 1), (3, None)], "doc_id long, toxic int")) == plain
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(awkward, no_labels)

@@ -63,19 +63,32 @@ def huber_line(x: np.ndarray, y: np.ndarray, width: float, rounds: int = 10) ->
     return slope, float(my - slope * mx)
 
 
+def part_turn(turn: np.ndarray, most: float) -> tuple[np.ndarray, bool]:
+    """(a rotation about the axis of `turn` by its angle or `most` radians, whether that is all of it), by quaternion."""
+    # The eigenvector of the largest eigenvalue of this matrix is the rotation's quaternion (x, y, z, w).
+    k = np.zeros((4, 4))
+    k[:3, :3] = turn + turn.T - np.trace(turn) * np.eye(3)
+    k[:3, 3] = k[3, :3] = turn[2, 1] - turn[1, 2], turn[0, 2] - turn[2, 0], turn[1, 0] - turn[0, 1]
+    k[3, 3] = np.trace(turn)
+    x = np.linalg.eigh(k)[1][:, -1]
+    x = -x if x[3] < 0 else x
+    half = float(np.arctan2(np.linalg.norm(x[:3]), x[3]))
+    if 2 * half <= most:
+        return turn, True
+    return exponential(x[:3] / np.sin(half) * most), False
+
+
 def step_toward(now: np.ndarray, goal: np.ndarray, pivot: np.ndarray, dt: float, speed: float = 0.05, turn: float = 1.0) -> tuple[np.ndarray, bool]:
-    """(pose, reached): from one 4x4 pose toward another, turning about pivot by at most `turn` degrees and moving it by at most `speed` a second."""
-    change = goal @ np.linalg.inv(now)
-    r = change[:3, :3]
-    angle = float(np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1)))
-    axis = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-    axis = axis / np.linalg.norm(axis) if np.linalg.norm(axis) > 1e-12 else np.zeros(3)
-    shift = r @ pivot + change[:3, 3] - pivot
-    most_turn, most_shift, far = np.radians(turn) * dt, speed * dt, float(np.linalg.norm(shift))
+    """(pose, reached): 4x4 poses; `now` drawn toward `goal` for `dt` seconds, so that the place `pivot` moves by at most `speed` and the attitude by `turn` degrees a second."""
+    at_pivot = np.linalg.solve(now, np.append(pivot, 1.0))  # the same place in the moving frame
+    way = (goal @ at_pivot)[:3] - pivot
+    room = speed * dt
+    arrives = float(way @ way) <= room * room
+    part, turned = part_turn(goal[:3, :3] @ now[:3, :3].T, np.radians(turn) * dt)
     out = np.eye(4)
-    out[:3, :3] = exponential(axis * min(angle, most_turn))
-    out[:3, 3] = pivot - out[:3, :3] @ pivot + (shift if far <= most_shift else shift * (most_shift / far))
-    return out @ now, angle <= most_turn and far <= most_shift
+    out[:3, :3] = part @ now[:3, :3]
+    out[:3, 3] = pivot + (way if arrives else way * (room / np.sqrt(way @ way))) - out[:3, :3] @ at_pivot[:3]
+    return out, arrives and turned
 
 
 @dataclass

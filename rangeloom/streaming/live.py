@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,13 +28,20 @@ def voxel_map(points: DataFrame, size: int, time: str) -> DataFrame:
     return with_voxel(points, size).groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], F.min(time).alias("first"), F.max(time).alias("last"))
 
 
-def track(clusters: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The tracker over a stream of clusters (sensor, t, cluster, x, y, z, extent); frames must arrive in time order."""
+def track(clusters: DataFrame, rules: Rules | None = None, silent: str = "10 minutes") -> DataFrame:
+    """The tracker over a stream of clusters (sensor, t, cluster, x, y, z, extent); frames must arrive in time order.
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = pickle.loads(state.get[0]) if state.exists else Tracker(rules)
-        rows = pd.concat(list(parts), ignore_index=True)
-        yield from track_frames(tracker, key[0], rows)
-        state.update((pickle.dumps(tracker),))
+    State is a sensor's open tracks and samples as plain numbers; it is freed when the sensor has been silent for `silent`.
+    """
+    wait = int(pd.Timedelta(silent).total_seconds() * 1000)
 
-    return clusters.groupBy("sensor").applyInPandasWithState(run, TRACKED, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tracker = Tracker(rules, tuple(state.get) if state.exists else None)
+        yield from track_frames(tracker, key[0], pd.concat(list(parts), ignore_index=True))
+        state.update(tracker.state())
+        state.setTimeoutDuration(wait)
+
+    return clusters.groupBy("sensor").applyInPandasWithState(run, TRACKED, "last double, following long, tracks array<double>, samples array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -28,12 +28,12 @@ def voxel_map(points: DataFrame, size: int, time: str) -> DataFrame:
     return with_voxel(points, size).groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], F.min(time).alias("first"), F.max(time).alias("last"))
 
 
-def track(clusters: DataFrame, rules: Rules | None = None, silent: str = "10 minutes") -> DataFrame:
+def track(clusters: DataFrame, rules: Rules | None = None, silent: str | None = None) -> DataFrame:
     """The tracker over a stream of clusters (sensor, t, cluster, x, y, z, extent); frames must arrive in time order.
 
-    State is a sensor's open tracks and samples as plain numbers; it is freed when the sensor has been silent for `silent`.
+    State is a sensor's open tracks and samples as plain numbers. With `silent` ("10 minutes") it is freed when the sensor
+    has sent nothing for so long; such a query runs by a processing-time trigger, as one for what is available now would never end.
     """
-    wait = int(pd.Timedelta(silent).total_seconds() * 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,6 +42,8 @@ def track(clusters: DataFrame, rules: Rules | None = None, silent: str = "10 min
         tracker = Tracker(rules, tuple(state.get) if state.exists else None)
         yield from track_frames(tracker, key[0], pd.concat(list(parts), ignore_index=True))
         state.update(tracker.state())
-        state.setTimeoutDuration(wait)
+        if silent:
+            state.setTimeoutDuration(int(pd.Timedelta(silent).total_seconds() * 1000))
 
-    return clusters.groupBy("sensor").applyInPandasWithState(run, TRACKED, "last double, following long, tracks array<double>, samples array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if silent else GroupStateTimeout.NoTimeout
+    return clusters.groupBy("sensor").applyInPandasWithState(run, TRACKED, "last double, following long, tracks array<double>, samples array<double>", "append", timeout)

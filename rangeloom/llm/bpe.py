@@ -13,8 +13,8 @@ The plan is one Arrow map over the scan: no shuffle, no state beyond the chunk s
 
 from __future__ import annotations
 
-import base64
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -25,23 +25,44 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import table, text_or_empty, tokenizer_file
 
-END_OF_TEXT, END_ID = "<|endoftext|>", 50256
-#: The published splitting pattern of the vocabulary.
+#: The published splitting pattern of byte-level vocabularies that ask for it (use_regex).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STORE_BYTES = 24 << 20
 SURE = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 
 
+def vocabulary_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(id by token, id by special token) of a byte-level BPE vocabulary file; a file of another kind is refused.
+
+    In such files a byte is a printable character: itself where it is one, else the next of those from 256 on. Ids follow the
+    merges, so a token's id is its rank.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or file["normalizer"] or model.get("ignore_merges"):
+        raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged):
+        raise ValueError(f"{path}: ids don't follow the merges")
+    return ranks, special
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk; `cut_bits` sets the mean chunk length (2**cut_bits bytes)."""
 
-    def __init__(self, ranks_path: str, cut_bits: int = 9, store_bytes: int = STORE_BYTES):
+    def __init__(self, path: str, cut_bits: int = 9, store_bytes: int = STORE_BYTES):
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.coder = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: END_ID})
-        self.width = np.zeros(END_ID + 1, np.int64)
+        ranks, special = vocabulary_of(path)
+        self.coder = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special_ids = special
+        self.width = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
         for token, i in ranks.items():
             self.width[i] = len(token)
         self.cut_bits, self.store_bytes = cut_bits, store_bytes
@@ -122,10 +143,8 @@ class ChunkEncoder:
                 return at
 
     def encode(self, text: str) -> np.ndarray:
-        parts = text.split(END_OF_TEXT)
-        out = [self._segment(parts[0].encode())]
-        for part in parts[1:]:
-            out += [np.array([END_ID], np.uint32), self._segment(part.encode())]
+        parts = self.special.split(text) if self.special else [text]
+        out = [np.array([self.special_ids[x]], np.uint32) if k % 2 else self._segment(x.encode()) for k, x in enumerate(parts)]
         return np.concatenate(out) if len(out) > 1 else out[0]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -140,11 +159,11 @@ def _coder(path: str, cut_bits: int) -> ChunkEncoder:
     return _coder.value
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", cut_bits: int = 9, digest: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", cut_bits: int = 9, digest: bool = False) -> DataFrame:
     """(id, n_tokens, ids) for each row; with digest, (id, n_tokens, ids_sha256, decoded_sha256) after a decode.
 
-    A null or empty text has no ids. Repeated rows are encoded alike, a null id is carried. The marker <|endoftext|> in a
-    text is its special id. An empty table gives an empty table; other columns are not read. The longest text bounds a
+    A null or empty text has no ids. Repeated rows are encoded alike, a null id is carried. A special token of the vocabulary in a
+    text is its id. An empty table gives an empty table; other columns are not read. The longest text bounds a
     task's memory, at about ten times its bytes.
     """
     path = tokenizer_file(vocabulary)
@@ -171,7 +190,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def decode_ids(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def decode_ids(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """(id, text) from encode_texts' (id, n_tokens, ids); null ids decode to an empty text."""
     path = tokenizer_file(vocabulary)
     kind = dict(encoded.dtypes)[id_col]

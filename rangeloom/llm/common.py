@@ -21,17 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset and all tasks run on this machine (tests)."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get() if own.isDefined() else "file://" + tempfile.mkdtemp(prefix="rangeloom-")
-        if not own.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
+        if own.isDefined():
+            return own.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="rangeloom-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores until it is no column of df (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Shelf:
     """Tables written to the shared folder to cut lineage; `drop` deletes one as soon as nothing needs it."""
 
@@ -48,7 +62,13 @@ class Shelf:
         return out
 
     def drop(self, df: DataFrame | None) -> None:
-        path = getattr(df, "_shelf_path", None)
+        self._delete(getattr(df, "_shelf_path", None))
+
+    def clear(self) -> None:
+        """Deletes all tables of this shelf: for callers that pass their own, once they have read what they asked for."""
+        self._delete(self.root)
+
+    def _delete(self, path: str | None) -> None:
         if path:
             jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
             p = jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import WHITE_SPACE, Shelf, table
+from rangeloom.llm.common import WHITE_SPACE, Shelf, free_names, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,12 +29,14 @@ def line_key(line: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, shelf: Shelf | None = None) -> DataFrame:
-    """All columns of docs, with the text's repeated lines dropped, and `line_counts` (n_lines, n_dropped).
+    """All columns of docs, with the text's repeated lines dropped, and `line_counts` (n_lines, n_dropped; with underscores after its name where docs has such a column).
 
     A null or empty text is one empty line. Rows with the same id are one document; a null id counts as a document
-    of its own that is smaller than any other. Repeated rows stay repeated. An empty table gives an empty table;
-    other columns pass through whatever their names, except one named line_counts, which is replaced.
+    of its own that is smaller than any other. Repeated rows stay repeated; a key that only one document holds, however often, is
+    none of many documents. A very long text is one row of lines. An empty table gives an empty table; other columns pass through
+    whatever their names.
     """
+    (counts,) = free_names(docs, "line_counts")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
     split = base.select("id", "th", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line")).select("id", "th", "pos", F.btrim("line", F.lit(WHITE_SPACE)).alias("line"))
@@ -47,9 +49,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = F.when(F.size("lost") == 0, F.array_join("lines", "\n")).otherwise(
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost"), lambda i: F.get("lines", i)), "\n")
     )
-    out = met.select("row", kept.alias("kept"), F.struct(F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped")).alias("line_counts"))
-    own = [F.col("kept").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c != "line_counts"]
-    return out.select(*own, "line_counts")
+    out = met.select("row", kept.alias("kept"), F.struct(F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped")).alias(counts))
+    own = [F.col("kept").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return out.select(*own, counts)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

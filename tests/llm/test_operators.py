@@ -492,6 +492,13 @@ def test_lines(spark, awkward, nothing, texts):
     assert lines.drop_repeated_lines(nothing).count() == 0
 
 
+def test_line_counts_take_a_free_name(spark):
+    docs = spark.createDataFrame([(i, f"{LONG}\n{i}", "mine", "too") for i in range(6)], "doc_id long, text string, LINE_COUNTS string, line_counts_ string")
+    out = lines.drop_repeated_lines(docs)
+    assert out.columns == ["doc_id", "text", "LINE_COUNTS", "line_counts_", "line_counts__"]
+    assert {(r.LINE_COUNTS, r.line_counts_, r.line_counts__.n_lines) for r in out.collect()} == {("mine", "too", 2)}
+
+
 def test_line_keys_fold_ascii_only(spark):
     rows = ["ÀÉ x" * 12, "àé x" * 12, "ÀÉ X" * 12, "×Þ" * 30, "÷þ" * 30]
     keys = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(lines.line_key(lines.F.col("t"))).collect()]
@@ -576,11 +583,10 @@ def test_bpe_is_the_library(spark, awkward, nothing, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(bpe.tokenizer_file("byte_bpe_50k.json"))
-    own = spark.createDataFrame(list(texts.items()), "doc_id long, text string").unionByName(awkward.select("doc_id", "text"))
-    for r in bpe.encode_texts(own).join(own.where("doc_id >= 20 AND doc_id < 60").dropDuplicates(["doc_id"]), "doc_id").collect():
-        if r.doc_id in texts and texts[r.doc_id] == r.text:
-            assert r.ids in (tok.encode(r.text, add_special_tokens=False).ids,) or r.doc_id < 27
-    coder = bpe.ChunkEncoder(bpe.tokenizer_file("byte_bpe_50k.tiktoken"), cut_bits=3, store_bytes=2000)
+    own = texts | {100_000 + i: r.text for i, r in enumerate(awkward.collect())}
+    got = bpe.encode_texts(spark.createDataFrame([(i, x, 1) for i, x in own.items()], "doc_id long, text string, ids int")).collect()
+    assert len(got) == len(own) and all(r.ids == tok.encode(own[r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in got)
+    coder = bpe.ChunkEncoder(bpe.tokenizer_file("byte_bpe_50k.json"), cut_bits=3, store_bytes=2000)
     rng = np.random.default_rng(5)
     parts = ["a", "b'll", " ", "  ", "\n", "é", "日本", "1", "%%", "word ", "<|endoftext|>", "'s", " ", "　"]
     for t in [*texts.values(), *("".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(500))]:
@@ -595,10 +601,27 @@ def test_bpe_is_the_library(spark, awkward, nothing, texts):
 def test_bpe_digests(spark, texts):
     for r in bpe.op7_bpe(spark, DATA).collect():
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
-        ids = bpe._coder(bpe.tokenizer_file("byte_bpe_50k.tiktoken"), 9).encode(texts[r.doc_id])
+        ids = bpe._coder(bpe.tokenizer_file("byte_bpe_50k.json"), 9).encode(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids.tolist())).hexdigest())
 
 
+def test_bpe_reads_the_vocabulary_file(tmp_path):
+    """A file with other ids gives other ids; one of another kind is refused."""
+    import json
+
+    with open(bpe.tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["model"]["vocab"] = {t: i + 7 for t, i in file["model"]["vocab"].items()}
+    file["added_tokens"][0]["id"] += 7
+    (tmp_path / "moved.json").write_text(json.dumps(file), encoding="utf-8")
+    a, b = (bpe.ChunkEncoder(str(p)).encode("some text, <|endoftext|>é 12") for p in (bpe.tokenizer_file("byte_bpe_50k.json"), tmp_path / "moved.json"))
+    assert (a + 7).tolist() == b.tolist()
+    file["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.ChunkEncoder(str(tmp_path / "other.json"))
+
+
 # --- 8
 
 

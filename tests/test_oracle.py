@@ -5,10 +5,10 @@ import oracle
 import pytest
 from conftest import DATA
 
-from rangeloom.plans import point_queries, sql_views, stream_queries, view_queries
+from rangeloom.plans import point_queries, session_queries, sql_views, stream_queries, view_queries
 
-SQL = {**point_queries.SQL, **stream_queries.SQL, **view_queries.SQL, **sql_views.SQL}
-QUERIES = {**point_queries.QUERIES, **stream_queries.QUERIES, **view_queries.QUERIES, **sql_views.QUERIES}
+SQL = {**point_queries.SQL, **stream_queries.SQL, **view_queries.SQL, **sql_views.SQL, **session_queries.SQL}
+QUERIES = {**point_queries.QUERIES, **stream_queries.QUERIES, **view_queries.QUERIES, **sql_views.QUERIES, **session_queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -132,11 +132,8 @@ def decode_stats(s: SparkSession, d: str) -> DataFrame:
 k AS (SELECT id, "user", value AS kept, place, true AS key FROM o WHERE place = 1 UNION ALL SELECT o.id, o."user", CASE WHEN abs(o.value - k.kept) >= 20 THEN o.value ELSE k.kept END, o.place, abs(o.value - k.kept) >= 20 FROM k JOIN o ON o."user" = k."user" AND o.place = k.place + 1)
 SELECT id, "user" FROM k WHERE key""")
 def keyframes(s: SparkSession, d: str) -> DataFrame:
-    """Rows at least 20 from the last kept one: a fold, as what is kept depends on what was kept."""
-    step = lambda a, r: F.when(a["kept"].isNull() | (F.abs(r["value"] - a["kept"]) >= 20), F.struct(r["value"].alias("kept"), F.concat(a["ids"], F.array(r["id"])).alias("ids"))).otherwise(a)
-    rows = F.array_sort(F.collect_list(F.struct("us", "id", "value")))
-    folded = event_stream(s, d).groupBy("user").agg(rows.alias("rows")).select("user", F.aggregate("rows", F.expr("named_struct('kept', cast(null as double), 'ids', cast(array() as array<bigint>))"), step).alias("f"))
-    return folded.select(F.explode("f.ids").alias("id"), "user")
+    """Rows at least 20 from the last kept one of their user: a fold, as what is kept depends on what was kept."""
+    return O.kept_far(event_stream(s, d).select("user", "us", "id", "value"), "user", ["us", "id"], "value", 20.0).select("id", "user")
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rangeloom.llm.common import table, text_or_empty
 
@@ -165,13 +166,14 @@ def find_overlaps(
 
     An item shorter than least_words counts if the document holds all its words but the share that may differ; one of
     fewer than four words only if they all agree. A null or empty text, document or item, has no words and overlaps nothing.
-    Repeated rows give repeated rows, null ids are carried, an empty table on either side gives an empty table, other
-    columns are not read. Ties go to more agreeing words, then to the earlier place.
+    Repeated rows give repeated rows, repeated items too; null ids are carried, item ids are of any type; a very long text is searched
+    whole; an empty table on either side gives an empty table, other columns are not read. Ties go to more agreeing words,
+    then to the earlier place.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     schema = f"id {kinds[0]}, item {kinds[1]}, n_seeds long, n_words long, n_same long, doc_start long, item_start long"
-    arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
+    arrow_item = to_arrow_type(benchmark.schema[item_col].dataType)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     out = None
     for mine in slices_of(benchmark, item_col, item_text, slice_bytes):

@@ -640,6 +640,43 @@ def test_decontamination(spark, awkward, nothing):
     assert decontam.find_overlaps(made, bench.limit(0)).count() == 0
 
 
+def test_decontamination_items_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"a b {text} c", "x"), (None, text, "y"), (1, f"a b {text} c", "x")], "doc_id long, text string, item string")
+    for kind, ids in (("string", ["p", "p"]), ("double", [0.5, None]), ("date", [None, None])):
+        items = spark.createDataFrame([(ids[0], text), (ids[1], text)], f"item_id {kind}, text string")
+        got = decontam.find_overlaps(docs, items).collect()
+        assert sorted((r.doc_id or 0, r.n_same) for r in got) == [(0, 20)] * 2 + [(1, 20)] * 4 and {r.item_id for r in got} == set(ids)
+
+
+def test_decontamination_against_all_diagonals(spark):
+    """Planted stretches with substitutions, against every diagonal of every pair: none that meets the rule is missed."""
+    rng = np.random.default_rng(12)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 3000, n)]
+    items = [some(int(n)) for n in rng.integers(13, 45, 30)]
+    docs = []
+    for n, changed in [(14, 1), (14, 2), (16, 3), (20, 4), (25, 5), (30, 6)] * 20:
+        item = items[int(rng.choice([k for k, x in enumerate(items) if len(x) >= n] or [0]))]
+        at = int(rng.integers(0, max(1, len(item) - n + 1)))
+        part = item[at : at + n]
+        for k in rng.choice(len(part), changed, replace=False):
+            part[int(k)] = f"sub{k}"
+        docs.append([*some(int(rng.integers(0, 12))), *part, *some(int(rng.integers(0, 12)))])
+    want = set()
+    for i, doc in enumerate(docs):
+        for j, item in enumerate(items):
+            for shift in range(-len(item) + 1, len(doc)):
+                a, b = max(0, -shift), min(len(item), len(doc) - shift)
+                same = [item[k] == doc[k + shift] for k in range(a, b)]
+                run = np.concatenate([[0], np.cumsum(same)])
+                if any(run[e] - run[s] >= 0.8 * (e - s) - 1e-9 for s in range(len(same)) for e in range(s + 13, len(same) + 1)):
+                    want.add((i, j))
+    got = decontam.find_overlaps(
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    )
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 100
+
+
 def test_any_two_substitutions_leave_a_seed():
     a = np.arange(13).astype(np.uint64)
     for i in range(13):
@@ -883,6 +920,24 @@ def test_pipeline_stages(spark, awkward):
     assert first.count() >= 1
 
 
+def test_pipeline_awkward(spark, awkward, nothing):
+    """Columns named like those the stages use inside pass through; empty tables stay empty; no stage loses a clean row."""
+    rng = np.random.default_rng(21)
+    text = lambda: ".\n".join(" ".join(f"w{x}" for x in rng.integers(0, 9999, 12)) for _ in range(6))
+    names = ["line_counts", "null_id", "some_id", "text_hash", "whole_row", "id", "name", "batch", "votes", "kept"]
+    rows = [(i if i % 4 else None, text(), *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, out, DATA)
+        assert out.columns == docs.columns
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, rows))
+    empty = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, DATA)
+        assert empty.count() == 0
+
+
 def test_pipeline_decides_by_row(spark):
     """Rows with a null or repeated doc_id stand for themselves: a bad, repeated or contaminated one takes no other along."""
     rng = np.random.default_rng(4)

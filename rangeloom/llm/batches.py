@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import partitions
 
 BATCH_BYTES = 4 << 20
+#: Up to so many batches their labels are dealt evenly by a literal list; beyond, chance deals evenly enough.
+EVEN_BATCHES = 4096
 
 
 def _murmur_int(x: int, seed: int = 42) -> int:
@@ -46,15 +48,16 @@ def even_labels(n: int, each: int) -> list[int]:
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, list[int]]:
-    """((batch, id, body) with body the text's bytes, the labels of the buckets). Null ids come last, as the largest long."""
+    """((batch, id, body) with body the text's bytes, the labels of the buckets). Batches and buckets grow with the bytes. Null ids come last, as the largest long."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0))).first()[0]
     n = partitions(docs.sparkSession)
     each = max(1, round(int(size) / batch_bytes / n))
     labels = even_labels(n, each)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    label = F.element_at(F.array(*map(F.lit, labels)), F.pmod(F.xxhash64(ident), F.lit(len(labels))).cast("int") + 1) if len(labels) <= 4096 else F.pmod(F.xxhash64(ident), F.lit(len(labels))).cast("int")
-    return docs.select(label.alias("batch"), ident.alias("id"), body.alias("body")), even_labels(n, 2)
+    place = F.pmod(F.xxhash64(ident), F.lit(len(labels))).cast("int")
+    label = F.element_at(F.array(*map(F.lit, labels)), place + 1) if len(labels) <= EVEN_BATCHES else place
+    return docs.select(label.alias("batch"), ident.alias("id"), body.alias("body")), even_labels(n, max(2, each))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:

@@ -204,8 +204,9 @@ def repeats_of(docs, length=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot,size", [(1024, 4 << 20), (0, 50_000)])
-def test_repeats(spark, texts, hot, size):
+@pytest.mark.parametrize("hot,size,even", [(1024, 4 << 20, 4096), (0, 50_000, 4096), (0, 20_000, 4)])
+def test_repeats(spark, texts, hot, size, even, monkeypatch):
+    monkeypatch.setattr(batches, "EVEN_BATCHES", even)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = sorted(tuple(r[:4]) + (bytes(r.kept),) for r in repeats.remove_repeats(docs, hot=hot, batch_bytes=size).collect())
     assert got == repeats_of([(i, t.encode()) for i, t in texts.items()])

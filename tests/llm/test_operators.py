@@ -433,19 +433,13 @@ def test_simhash_awkward(awkward, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("cell", [400, 20])
-def test_near_copies_against_all_pairs(spark, cell):
-    """Every pair of five-word similarity 0.8 or more is in one group, and groups hold nothing else; in small cells too."""
-    rng = np.random.default_rng(6)
-    base = [f"b{x}" for x in range(100)]
-    edited = [" ".join(w if rng.random() > 0.012 else "other%d" % rng.integers(99) for w in base) for _ in range(150)]
-    rows = [(r.doc_id, r.text) for r in table(spark, DATA.replace("0.001", "0.01"), "documents").collect()]
-    rows += [(-1 - i, t) for i, t in enumerate(edited)] + [(-500, ""), (-501, None), (-502, "A b"), (-503, "a  B")]
+def near_groups(texts):
+    """Groups of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more, from all pairs; and how many pairs."""
     sets = []
-    for _, t in rows:
+    for t in texts:
         w = words((t or "").translate(LOWER))
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    owners, groups, pairs = defaultdict(list), simhash.Groups(len(rows)), 0
+    owners, groups, pairs = defaultdict(list), simhash.Groups(len(texts)), 0
     for i, x in enumerate(sets):
         both = Counter(j for k in x for j in owners[k])
         for j, n in both.items():
@@ -457,6 +451,18 @@ def test_near_copies_against_all_pairs(spark, cell):
     empty = [i for i, x in enumerate(sets) if not x]
     for i in empty[1:]:
         groups.join(empty[0], i)
+    return groups, pairs
+
+
+@pytest.mark.parametrize("cell", [400, 20])
+def test_near_copies_against_all_pairs(spark, cell):
+    """Every pair of five-word similarity 0.8 or more is in one group, and groups hold nothing else; in small cells too."""
+    rng = np.random.default_rng(6)
+    base = [f"b{x}" for x in range(100)]
+    edited = [" ".join(w if rng.random() > 0.012 else "other%d" % rng.integers(99) for w in base) for _ in range(150)]
+    rows = [(r.doc_id, r.text) for r in table(spark, DATA.replace("0.001", "0.01"), "documents").collect()]
+    rows += [(-1 - i, t) for i, t in enumerate(edited)] + [(-500, ""), (-501, None), (-502, "A b"), (-503, "a  B")]
+    groups, pairs = near_groups([t for _, t in rows])
     want = defaultdict(list)
     for i, (d, _) in enumerate(rows):
         want[groups.find(i)].append(d)
@@ -954,6 +960,61 @@ def test_pipeline_decides_by_row(spark):
     assert texts_of(corpus_pipeline.one_of_each_group(spark, frame(rows), DATA)) == sorted([(0, own[0]), (0, own[1]), (7, own[2]), (7, own[3])])
 
 
+def holds_passage(text, items):
+    """Whether any stretch of 13 words or more on any diagonal agrees with an item of 13 words or more in four fifths; or a shorter item is there."""
+    doc = np.array([xxhash.xxh64_intdigest(w) for w in words(text.translate(LOWER))], np.uint64)
+    for item in items:
+        assert len(item) >= 13
+        at, own = np.nonzero(doc[:, None] == item[None, :])
+        for shift, n in zip(*np.unique(at - own, return_counts=True)):
+            if n >= 11:
+                a, b = max(0, -shift), min(len(item), len(doc) - shift)
+                run = np.concatenate([[0], np.cumsum(item[a:b] == doc[a + shift : b + shift])])
+                if any(run[e] - run[s] >= 0.8 * (e - s) - 1e-9 for s in range(b - a) for e in range(s + 13, b - a + 1)):
+                    return True
+    return False
+
+
+def test_pipeline_is_its_plain_version(spark, texts):
+    """All five stages against plain versions, each on the one before, over the documents with near copies and changed passages added."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(31)
+    passages = [r.text for r in table(spark, DATA, "benchmark").collect()]
+    rows = sorted(texts.items())
+    for k, (i, x) in enumerate([r for r in rows if len(words(r[1])) > 80][:30]):
+        w = x.split(" ")
+        w[len(w) // 2] = f"changed{k}"
+        rows.append((10_000 + i, " ".join(w)))
+    for k in range(20):
+        w = passages[k].split(" ")
+        w[int(rng.integers(len(w)))] = "swapped"
+        rows.append((20_000 + k, " ".join([*(f"own{k}x{j}" for j in range(40)), *w, *(f"end{k}x{j}" for j in range(40))])))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    features = {i: quality.measure(t) for i, t in rows}
+    ballots = {i: "".join(map(str, quality.votes(*f))) for i, f in features.items()}
+    posterior = quality.fit_accuracies(dict(sorted(Counter(ballots.values()).items())))
+    kept = [(i, t) for i, t in rows if features[i][0] >= 10 and 100 * features[i][4] <= 20 * features[i][0] and posterior[ballots[i]] >= 0.5]
+    thin = dropped_of(kept)
+    groups, pairs = near_groups([t for _, t in thin])
+    first = {}
+    for k, (i, _) in enumerate(thin):
+        first[groups.find(k)] = min(first.get(groups.find(k), i), i)
+    single = [(i, t) for k, (i, t) in enumerate(thin) if first[groups.find(k)] == i]
+    items = [np.array([xxhash.xxh64_intdigest(w) for w in words(p.translate(LOWER))], np.uint64) for p in passages]
+    clean = [(i, t) for i, t in single if not holds_passage(t, items)]
+    assert pairs > 30 and len(rows) > len(kept) > len(single) > len(clean) > 50
+    tok = Tokenizer.from_file(bpe.tokenizer_file("byte_bpe_50k.json"))
+    for (_, stage), want in zip(corpus_pipeline.STAGES, (kept, thin, single, clean)):
+        out = stage(spark, docs, DATA)
+        got = sorted(out.collect(), key=lambda r: r.doc_id)
+        assert [(r.doc_id, r.text, r.n_chars) for r in got] == [(i, t, len(t)) for i, t in sorted(want)]
+        docs = spark.createDataFrame(got, out.schema)
+    ids = {r.doc_id: r.ids for r in corpus_pipeline.STAGES[4][1](spark, docs, DATA).collect()}
+    assert ids == {i: tok.encode(t, add_special_tokens=False).ids for i, t in clean}
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     assert out and all(len(r.ids) == r.n_tokens for r in out)

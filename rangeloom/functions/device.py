@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Device types by code, those with the fast laser, and the firmware of paired returns of type 1.
-DEVICES = {0: "Hub", 1: "Mid40", 2: "Tele15", 3: "Horizon", 6: "Mid70", 7: "Avia"}
+#: Codes of the known device types, those with the fast laser, and the firmware of paired returns of type 1.
+DEVICES = (0, 1, 2, 3, 6, 7)
 FAST, FAST_NS, SLOW_NS = (2, 3, 7), 4167, 10_000
 PAIRED_DEVICE, PAIRED_FIRMWARE = 1, ("3.3.0.1", "3.3.0.6")
 #: Colours of return numbers and classes, each channel of 0 to 1; the last is for all others.
 PALETTE = ((0.90, 0.90, 0.90), (1.00, 0.25, 0.20), (1.00, 0.60, 0.10), (1.00, 0.95, 0.20), (0.25, 0.70, 1.00), (0.45, 1.00, 0.45), (0.85, 0.35, 1.00))
 
 
-def device_name(code: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for kv in DEVICES.items() for x in kv])
-    return F.coalesce(F.try_element_at(names, code.cast("int")), F.concat(F.lit("type "), code.cast("string")))
+def known_device(code: Column) -> Column:
+    """Whether the code is a known device type; another is carried as it is, with the slow rate."""
+    return code.isin(*DEVICES)
 
 
 def firing_ns(code: Column) -> Column:

@@ -24,14 +24,11 @@ def query(sql: str):  # noqa: ANN201
     return add
 
 
-_CODES = "CASE code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in D.DEVICES.items()) + " ELSE 'type ' || code END"
-
-
-@query(f"""WITH s AS (SELECT s_suppkey, s_suppkey % 9 AS code, '3.3.0.' || (s_suppkey % 8) AS firmware FROM supplier)
-SELECT s_suppkey, {_CODES} AS name, CAST(CASE WHEN code IN (2, 3, 7) THEN 4167 ELSE 10000 END AS BIGINT) AS firing_ns, CAST(code = 1 AND firmware IN ('3.3.0.1', '3.3.0.6') AS BIGINT) AS profile FROM s""")
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 9 AS code, '3.3.0.' || (s_suppkey % 8) AS firmware FROM supplier)
+SELECT s_suppkey, code IN (0, 1, 2, 3, 6, 7) AS known, CAST(CASE WHEN code IN (2, 3, 7) THEN 4167 ELSE 10000 END AS BIGINT) AS firing_ns, CAST(code = 1 AND firmware IN ('3.3.0.1', '3.3.0.6') AS BIGINT) AS profile FROM s""")
 def device_types(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 9).alias("code"), F.concat(F.lit("3.3.0."), (F.col("s_suppkey") % 8).cast("string")).alias("firmware"))
-    return t.select("s_suppkey", D.device_name(F.col("code")).alias("name"), D.firing_ns(F.col("code")).alias("firing_ns"), D.record_profile(F.col("code"), F.col("firmware")).alias("profile"))
+    return t.select("s_suppkey", D.known_device(F.col("code")).alias("known"), D.firing_ns(F.col("code")).alias("firing_ns"), D.record_profile(F.col("code"), F.col("firmware")).alias("profile"))
 
 
 _IP = "[10, 127, 192, 169, 0][1 + c_custkey % 5] || '.' || [0, 254, 168][1 + c_custkey % 3] || '.' || (c_custkey % 4) || '.' || (c_custkey % 300)"

@@ -5,10 +5,10 @@ import oracle
 import pytest
 from conftest import DATA
 
-from rangeloom.plans import fold_queries, point_queries, scene_queries, session_queries, sql_views, stream_queries, view_queries
+from rangeloom.plans import fold_queries, match_queries, point_queries, scene_queries, session_queries, sql_views, stream_queries, view_queries
 
-SQL = {**point_queries.SQL, **stream_queries.SQL, **view_queries.SQL, **sql_views.SQL, **fold_queries.SQL, **session_queries.SQL, **scene_queries.SQL}
-QUERIES = {**point_queries.QUERIES, **stream_queries.QUERIES, **view_queries.QUERIES, **sql_views.QUERIES, **fold_queries.QUERIES, **session_queries.QUERIES, **scene_queries.QUERIES}
+SQL = {**point_queries.SQL, **stream_queries.SQL, **view_queries.SQL, **sql_views.SQL, **fold_queries.SQL, **session_queries.SQL, **scene_queries.SQL, **match_queries.SQL}
+QUERIES = {**point_queries.QUERIES, **stream_queries.QUERIES, **view_queries.QUERIES, **sql_views.QUERIES, **fold_queries.QUERIES, **session_queries.QUERIES, **scene_queries.QUERIES, **match_queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -888,6 +888,16 @@ def test_language_hot_contexts(spark, texts):
         assert math.isclose(r.score, sum(math.log10(p1(a, w)) for a, w in zip(["<", *x], x)), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("batch", [4 << 20, 30_000])
+def test_language_scores_alike_however_contexts_are_dealt(spark, texts, batch):
+    """Contexts over the bound at which they are dealt to buckets are tested and smoothed as any other: the bound changes no score."""
+    want, states, _ = scores_of(texts)
+    assert 0 < states[1] < len({w for t in texts.values() for w in words(t.translate(LOWER))})
+    for deal in (2, 40):
+        for r in language.score_texts(table(spark, DATA, "documents"), batch_bytes=batch, deal=deal).collect():
+            assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-6), (deal, r)
+
+
 def test_language_gathers_with_the_corpus(spark):
     """A passage met twice is known by its contexts, however large the rest is."""
     rng = np.random.default_rng(3)

@@ -425,12 +425,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return ask, tell, decide
 
-    answers = counted.select("batch", "bucket", "level", "blob")
+    # Dealt by batch once, then read by every later round.
+    by_batch = lambda df: df.repartition(n, "batch")
+    answers = by_batch(counted.select("batch", "bucket", "level", "blob"))
     with_sums = lambda df: df.withColumn("sums", sums).groupBy("batch")
     for ask, tell, decide in map(round_of, range(1, depth + 1)):
         asked = grouped.cogroup(with_sums(answers)).applyInArrow(ask, question)
-        new = asked.groupBy("bucket").applyInArrow(tell, told)
-        answers = answers.unionByName(new).unionByName(new.groupBy("batch").applyInArrow(decide, told))
+        new = by_batch(asked.groupBy("bucket").applyInArrow(tell, told))
+        answers = answers.unionByName(new).unionByName(by_batch(new.groupBy("batch").applyInArrow(decide, told)))
 
     def finish(key: tuple, mine: pa.Table, got: pa.Table) -> pa.Table:
         if not mine.num_rows:

@@ -1,8 +1,8 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, transitively.
 
-1. Distinct texts, named by a hash, have BANDS bands of ROWS min-hashes each. A pair at the least similarity shares a band but for
-   about three cases in a million; a text links to the least name of each of its bands, and components of these links are
-   the sets inside which near copies can be.
+1. Distinct texts, named by a hash, have a SimHash fingerprint of their shingles, WORDS words of 64 bits. The vantage-point trees of simhash.py link
+   those at most RADIUS bits apart: a pair at the least similarity differs in 39 +- 6 bits, unlike ones in 128 +- 8. It shares no tree in
+   about three of a million cases. Components of these links are the sets inside which near copies can be.
 2. Shingle sets are compared exactly inside each such set. One of more than CELL texts is dealt to cells by name, each with the
    same PIVOTS texts, so a dense group becomes one whatever its size; then what lies outside the largest group of its set is
    compared with every text of the set that it isn't grouped with, cell by cell.
@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import Shelf, partitions, text_or_empty
 from rangeloom.llm.decontam import WordHashes
-from rangeloom.llm.simhash import classes_of, components
+from rangeloom.llm.simhash import WIDE_MEAN, WORDS, classes_of, components, links as tree_links, wide_fingerprint
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
+RADIUS = 72
 CELL, PIVOTS = 400, 16
-_ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,20 +43,6 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """BANDS hashes of ROWS least values each; texts without words share all of theirs."""
-    least = np.zeros(BANDS * ROWS, np.uint64)
-    if len(found):
-        for at in range(0, len(_ODD), 16):
-            mixed = found[None, :] * _ODD[at : at + 16, None]
-            least[at : at + 16] = ((mixed ^ (mixed >> np.uint64(32))) * _MUL).min(1)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * _MUL
-        out ^= out >> np.uint64(31)
-    return out
-
-
 def spanning_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links between similar sets, enough to span every group; sets with equal roots are together already."""
     n = len(sets)
@@ -110,7 +95,7 @@ def _compare(cells: DataFrame, width: int, similarity: float) -> DataFrame:
     return cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, cell: int = CELL, shelf: Shelf | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, cell: int = CELL, shelf: Shelf | None = None, mean: int = WIDE_MEAN) -> DataFrame:
     """(id, component_id) for each row: the smallest id of its group.
 
     Texts without words, null ones too, are one group. Repeated rows share a group; a null id is never the smallest. An
@@ -122,15 +107,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            got = [bands(shingles(hashes.of(x.as_py()), width)) for x in batch.column(1)]
-            flat = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(flat.view(np.int64))], ["name", "band"])
-
-    rows = shelf.keep(texts.select("name", "text").mapInArrow(sketch, "name long, band long").distinct())
-    shared = rows.groupBy("band").agg(F.min("name").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    sets = components(rows.join(shared, "band").select(F.col("name").alias("a"), F.col("least").alias("b")).where("a <> b").distinct(), shelf)
+            got = [wide_fingerprint(shingles(hashes.of(x.as_py()), width)) for x in batch.column(1)]
+            flat = np.array(got, np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(flat[:, k]) for k in range(WORDS))], ["name", *words])
+
+    words = [f"word{k}" for k in range(WORDS)]
+    rows = shelf.keep(texts.select("name", "text").mapInArrow(sketch, "name long, " + ", ".join(f"{w} long" for w in words)).distinct())
+    prints = shelf.keep(rows.groupBy(*words).agg(F.min("name").alias("fp")))
+    alike = rows.join(prints, words).where("name <> fp").select(F.col("name").alias("a"), F.col("fp").alias("b"))
+    sets = components(tree_links(prints, RADIUS, shelf=shelf, mean=mean).unionByName(alike).distinct(), shelf)
     sets = shelf.keep(sets.unionByName(sets.select(F.col("root").alias("node"), "root")).distinct().toDF("name", "set"))
     shelf.drop(rows)
+    shelf.drop(prints)
     spread = sets.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
     # Copies are combined before the shuffle, which the join shares.
     once = texts.groupBy("name").agg(F.min("text").alias("text"))

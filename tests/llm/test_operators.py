@@ -470,6 +470,29 @@ def test_near_copies_against_all_pairs(spark, cell):
     assert pairs > 100 and got == {d: min(x) for x in want.values() for d in x}
 
 
+@pytest.mark.parametrize("mean,shard", [(25, 20_000), (25, 40)])
+def test_near_copies_come_from_the_trees(spark, mean, shard):
+    """Wide fingerprints: with many trees, and in shards of many cells, hardly a pair at similarity 0.8 is missed, and unlike ones aren't linked."""
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n), np.uint64)) for n in rng.integers(30, 400, 600)]
+    near = [np.unique(np.concatenate([x[len(x) // 9 :], rng.integers(0, 1 << 63, len(x) // 9, np.uint64)])) for x in sets]  # similarity 0.8
+    prints = np.array([simhash.wide_fingerprint(x) for x in sets + near]).view(np.int64)
+    assert len(simhash.wide_masks(1200, mean)) == 28
+    rows = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "fp long, word0 long, word1 long, word2 long, word3 long")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(rows, nearcopies.RADIUS, shard, mean=mean).collect()}
+    assert got == {(i, i + 600) for i in range(600)}
+
+
+def test_near_copies_over_many_trees(spark):
+    rng = np.random.default_rng(6)
+    base = [f"b{x}" for x in range(100)]
+    edited = [" ".join(w if rng.random() > 0.012 else "other%d" % rng.integers(99) for w in base) for _ in range(60)]
+    rows = list(enumerate(edited + [r.text for r in table(spark, DATA.replace("0.001", "0.01"), "documents").collect()]))
+    groups, pairs = near_groups([t for _, t in rows])
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), mean=20).collect()}
+    assert pairs > 100 and got == {i: groups.find(i) for i in range(len(rows))}
+
+
 def test_near_copies_awkward(awkward, nothing):
     assert nearcopies.near_copies(awkward).count() == awkward.count()
     assert nearcopies.near_copies(nothing).count() == 0
